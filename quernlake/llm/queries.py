@@ -10,7 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import block_names, framed_ids, merge_automaton
+from quernlake.llm import block_names, class_lm, framed_ids, merge_automaton
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -41,6 +41,10 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_framed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = framed_ids.write_records(table(spark, sf_dir, "documents"), tokenizer_path())
     return framed_ids.read_records(files, framed_ids.crc32_of, "doc_id long, start long, n_tokens long, ids_crc32 long")
@@ -50,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_automaton": op3_bpe_automaton,
         "op6_exact_dedup": op6_exact_dedup,
+        "op9_class_lm": op9_class_lm,
         "op10_framed_ids": op10_framed_ids,
     }
 
