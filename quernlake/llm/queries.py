@@ -10,7 +10,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.llm import block_names, class_lm, framed_ids, merge_automaton
+from quernlake.llm import block_names, class_lm, framed_ids, merge_automaton, site_quality
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -30,6 +30,10 @@ def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.transcode(table(spark, sf_dir, "documents"), tokenizer_path(), _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_framed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_bpe_automaton": op3_bpe_automaton,
+        "op4_site_quality": op4_site_quality,
         "op6_exact_dedup": op6_exact_dedup,
         "op9_class_lm": op9_class_lm,
         "op10_framed_ids": op10_framed_ids,
