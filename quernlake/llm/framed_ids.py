@@ -88,12 +88,13 @@ def library(path: str) -> tuple[object, Remembered]:
         kept = Remembered(lambda x: None)
 
         def encode(pieces: list[str]) -> list[bytes]:
-            new = [x for x in pieces if x not in kept.young and x not in kept.old]
-            made = dict(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            before = {x: kept.one(x) for x in pieces if x not in made}
-            for x in new:
-                kept.put(x, made[x])
-            return [made[x] if x in made else before[x] for x in pieces]
+            young, old = kept.young, kept.old  # both stay whole until all pieces are looked up
+            found = {x: young[x] if x in young else old.get(x) for x in pieces}
+            new = [x for x, ids in found.items() if ids is None]
+            found.update(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            for x, ids in found.items():
+                kept.put(x, ids)
+            return [found[x] for x in pieces]
 
         _libraries[path] = (tokenizer, encode)
     return _libraries[path]

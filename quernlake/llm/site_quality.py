@@ -66,7 +66,10 @@ def _shape(texts: pa.Array, which: np.ndarray, offsets: np.ndarray, lengths: np.
     mean = np.where(n > 0, (np.concatenate([[0], np.cumsum(lengths[which])])[offsets[1:]] - np.concatenate([[0], np.cumsum(lengths[which])])[offsets[:-1]]) / np.maximum(n, 1), 0)
     owner = np.repeat(np.arange(len(n)), n)
     distinct = np.bincount(np.unique(owner * (which.max(initial=0) + 1) + which) // (which.max(initial=0) + 1), minlength=len(n)) / np.maximum(n, 1)
-    columns = [count(r"\p{Lu}") * 20, count(r"[^\p{L}\p{N}\s.,]") * 20, count(r"\p{N}") * 20, mean, distinct * 10, np.log2(n + 1), count(r"\n") * 100]
+    same = np.zeros(len(n))
+    if len(which) > 1:
+        same = np.bincount(owner[1:], weights=(which[1:] == which[:-1]) & (owner[1:] == owner[:-1]), minlength=len(n)) / np.maximum(n, 1)
+    columns = [same * 30, count(r"\p{Lu}") * 20, count(r"[^\p{L}\p{N}\s.,]") * 20, count(r"\p{N}") * 20, mean, distinct * 10, np.log2(n + 1), count(r"\n") * 100]
     buckets = [np.minimum(15, c).astype(np.int64) + 16 * k for k, c in enumerate(columns)]
     return (1 << _BITS) + np.stack(buckets)
 

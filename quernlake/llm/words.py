@@ -64,7 +64,7 @@ class Remembered:
         return found
 
     def put(self, piece: str, value: object) -> None:
-        if len(self.young) >= self.limit:
+        if len(self.young) >= self.limit and piece not in self.young:
             self.old, self.young = self.young, {}
         self.young[piece] = value
 
