@@ -9,8 +9,9 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quernlake.llm import block_names, class_lm, framed_ids, merge_automaton, site_quality
+from quernlake.llm import block_names, class_lm, framed_ids, line_templates, merge_automaton, site_quality
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -45,6 +46,11 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
+
+
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -59,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe_automaton": op3_bpe_automaton,
         "op4_site_quality": op4_site_quality,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_line_templates": op7_line_templates,
         "op9_class_lm": op9_class_lm,
         "op10_framed_ids": op10_framed_ids,
     }
