@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm import block_names, class_lm, framed_ids, line_templates, merge_automaton, site_quality
+from quernlake.llm import bag_minhash, block_names, class_lm, framed_ids, line_templates, merge_automaton, site_quality
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,6 +27,10 @@ def _digests(batch: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray, decode
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(runs), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_automaton.transcode(table(spark, sf_dir, "documents"), tokenizer_path(), _digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -62,6 +66,7 @@ def op10_framed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_bag_minhash": op2_bag_minhash,
         "op3_bpe_automaton": op3_bpe_automaton,
         "op4_site_quality": op4_site_quality,
         "op6_exact_dedup": op6_exact_dedup,
