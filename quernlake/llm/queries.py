@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm import bag_minhash, block_names, class_lm, framed_ids, line_templates, merge_automaton, site_quality
+from quernlake.llm import bag_minhash, block_names, class_lm, framed_ids, license_spans, line_templates, merge_automaton, site_quality, template_leaks
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op4_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return site_quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_template_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_names.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,10 @@ def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op8_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_spans.license_spans(table(spark, sf_dir, "documents"))
+
+
 def op9_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return class_lm.score_documents(table(spark, sf_dir, "documents"))
 
@@ -69,8 +77,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_bag_minhash": op2_bag_minhash,
         "op3_bpe_automaton": op3_bpe_automaton,
         "op4_site_quality": op4_site_quality,
+        "op5_template_leaks": op5_template_leaks,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_line_templates": op7_line_templates,
+        "op8_license_spans": op8_license_spans,
         "op9_class_lm": op9_class_lm,
         "op10_framed_ids": op10_framed_ids,
     }
