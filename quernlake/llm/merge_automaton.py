@@ -283,3 +283,13 @@ def transcode(docs: DataFrame, path: str, summary: Callable[[pa.RecordBatch, np.
             yield summary(batch, ids, offsets, bpe.decode(ids, offsets))
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
+
+
+def transcode_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids and decoded (the labels of the ids) of every whole text."""
+
+    def rows(batch: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray, decoded: pa.Array) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), lists, decoded], ["doc_id", "n_tokens", "ids", "decoded"])
+
+    return transcode(docs, path, rows, "doc_id long, n_tokens long, ids array<int>, decoded string", id_col, text_col)

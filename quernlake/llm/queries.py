@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.llm import bag_minhash, block_names, class_lm, framed_ids, license_spans, line_templates, merge_automaton, site_quality, template_leaks
+from quernlake.llm import bag_minhash, block_names, class_lm, framed_ids, license_spans, line_templates, merge_automaton, site_quality, template_leaks, warc_archive
 from quernlake.sources.tables import table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -27,6 +27,20 @@ def _digests(batch: pa.RecordBatch, ids: np.ndarray, offsets: np.ndarray, decode
     return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(offsets).astype(np.int64)), pa.array(runs), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = warc_archive.write_archives(table(spark, sf_dir, "pages"))
+    return warc_archive.read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+     f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def op2_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bag_minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -74,6 +88,7 @@ def op10_framed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_archive": op1_warc_archive,
         "op2_bag_minhash": op2_bag_minhash,
         "op3_bpe_automaton": op3_bpe_automaton,
         "op4_site_quality": op4_site_quality,
@@ -87,4 +102,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op1_warc_archive": OP1_SQL, "op6_exact_dedup": OP6_SQL}
