@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quernlake.plans import sales_queries
+
 FLAGSHIP = "sales_revenue_by_month"
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    return dict(sales_queries.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLE
+    return dict(sales_queries.ORACLE)
