@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernlake.plans import sales_queries
+from quernlake.plans import dedup_queries, sales_queries
 
 FLAGSHIP = "sales_revenue_by_month"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(sales_queries.QUERIES)
+    return sales_queries.QUERIES | dedup_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sales_queries.ORACLE)
+    return sales_queries.ORACLE | dedup_queries.ORACLE
