@@ -26,6 +26,8 @@ LEADING = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
 MIN_CONTEXTS = 3
+#: Bits by which lines are sieved before the join with their leaves.
+SIEVE_BITS = 24
 
 
 def _lines(text: str) -> Column:
@@ -38,34 +40,57 @@ def masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, r"\S*(?:[0-9@]|://)\S*", "<*>")).otherwise(line)
 
 
-def _parsed(docs: DataFrame, leading: int, with_text: bool) -> DataFrame:
-    """doc_id, key (of the text), pos, n, leaf, line (hash of the masked line), context; with the masked tokens on demand."""
+def _parsed(docs: DataFrame, leading: int, min_tokens: int, with_text: bool) -> DataFrame:
+    """doc_id, key (of the text), pos, n, leaf, line (hash of the masked line), context of each line that counts; the masked line itself on demand."""
     tokens = F.transform(F.transform(_lines("text"), masked), lambda m: F.split(m, " "))
-    node = lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, leading)).alias("leaf"), F.xxhash64(t).alias("line"), *([t.alias("tokens")] if with_text else []))
+    text = lambda t: [F.array_join(t, " ").alias("masked")] if with_text else []
+    node = lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, leading)).alias("leaf"), F.xxhash64(t).alias("line"), *text(t))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.transform(tokens, node).alias("nodes"))
-    if with_text:
-        return rows.select(F.inline("nodes"))
     beside = lambda i: F.coalesce(F.get(F.col("nodes"), i)["leaf"], F.lit(0))
-    whole = F.transform("nodes", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["line"].alias("line"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context")))
-    return rows.select("doc_id", "key", F.inline(whole))
-
-
-def line_templates(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR) -> DataFrame:
-    """doc_id, key, pos, context, template of each line that counts; docs has doc_id and text without null."""
-    lines = write_shared(_parsed(docs, leading, False).where(F.col("n") >= min_tokens).select("doc_id", "key", "pos", "leaf", "line", "context"), "lines").frame
-    mixed = lines.groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.min("key").alias("c"), F.max("key").alias("d")).where("a != b AND c != d").select("leaf")
-    mixed = write_shared(mixed, "mixed-leaves").frame
-    distinct = _parsed(docs, leading, True).where(F.col("n") >= min_tokens).join(mixed, "leaf", "left_semi").groupBy("leaf", "line").agg(F.first("tokens").alias("tokens"))
-    places = write_shared(distinct.select("leaf", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("place", "token")).select("leaf", "line", "n", "place", F.xxhash64("token").alias("token")), "line-places").frame
+    more = lambda x: [x["masked"].alias("masked")] if with_text else []
+    whole = F.transform("nodes", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["line"].alias("line"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context"), *more(x)))
+    return rows.select("doc_id", "key", F.inline(F.filter(whole, lambda x: x["n"] >= min_tokens)))
+
+
+def recurring_leaves(docs: DataFrame, leading: int, min_tokens: int, min_contexts: int) -> DataFrame:
+    """(leaf, mixed) of the leaves in which a template can recur: enough contexts and two texts. mixed: with different masked lines."""
+    lines = _parsed(docs, leading, min_tokens, False)
+    contexts = lines.groupBy("leaf", "context").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("line").alias("a"), F.max("line").alias("b"))
+    leaves = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"))
+    return leaves.where((F.col("n") >= min_contexts) & (F.col("low") != F.col("high"))).select("leaf", (F.col("a") != F.col("b")).alias("mixed"))
+
+
+def _sieve(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """The lines whose leaf may be among `leaves`, by a bitmap of SIEVE_BITS bits: 2^(SIEVE_BITS - 15) rows of 4 KB whatever the input, so it is broadcast."""
+    place = F.col("leaf").bitwiseAND((1 << SIEVE_BITS) - 1)
+    bucket, bit = F.shiftright(place, 15).cast("int"), place.bitwiseAND(32767)
+    maps = leaves.groupBy(bucket.alias("bucket")).agg(F.bitmap_construct_agg(bit).alias("bits"))
+    byte = F.conv(F.hex(F.substring(F.col("bits"), F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
+    held = lines.withColumn("bucket", bucket).join(F.broadcast(maps), "bucket")
+    return held.where(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).drop("bucket", "bits")
+
+
+def line_templates(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
+    """doc_id, key, pos, context, template of each line whose template may recur; docs has doc_id and text without null.
+
+    Texts are read twice: first only hashes go to the leaves' contexts, then only lines of leaves in which something can
+    recur, a small part of a corpus, are carried on.
+    """
+    leaves = write_shared(recurring_leaves(docs, leading, min_tokens, min_contexts), "leaves").frame
+    lines = _sieve(_parsed(docs, leading, min_tokens, True), leaves).join(leaves, "leaf")
+    lines = write_shared(lines.select("doc_id", "key", "pos", "n", "leaf", "mixed", "line", "context", "masked"), "lines").frame
+    distinct = lines.where("mixed").groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("n").alias("n"))
+    places = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "line", "n", "place", F.xxhash64("token").alias("token"))
+    places = write_shared(places, "line-places").frame
     usual = places.groupBy("leaf", "place", "token").count().groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("usual"))
     same = places.join(usual, ["leaf", "place"]).groupBy("leaf", "line", "n").agg(F.sum((F.col("token") == F.col("usual")).cast("int")).alias("agree")).where(F.col("agree") >= F.col("n") * similar).select("leaf", "line", F.lit(True).alias("general"))
-    found = lines.join(same, ["leaf", "line"], "left")
+    found = lines.select("doc_id", "key", "pos", "leaf", "line", "context").join(same, ["leaf", "line"], "left")
     return found.select("doc_id", "key", "pos", "context", F.when(F.col("general"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
 
 
 def dropped_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, **tree) -> DataFrame:
     """doc_id, key, and the places of the lines that are dropped, for each text with such lines."""
-    lines = write_shared(line_templates(docs, **tree), "line-templates").frame
+    lines = write_shared(line_templates(docs, min_contexts=min_contexts, **tree), "line-templates").frame
     here = F.struct("doc_id", "key", "pos")
     contexts = lines.groupBy("template", "context").agg(F.min(here).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"))
     recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= min_contexts) & (F.col("low") != F.col("high")))
