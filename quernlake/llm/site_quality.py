@@ -33,8 +33,10 @@ from quernlake.shared import write_shared
 FIT_ROWS = 12_000
 FEATURES = 600
 RIDGE = 0.1
-#: A toxic document that stays does more harm than a clean one that goes.
-TOXIC_FROM = 0.08
+#: A toxic document that stays does more harm than a clean one that goes. It only goes if its own text speaks for it: a site's rate alone rejects nobody.
+TOXIC_FROM = 0.25
+#: A feature counts from so many sample rows and so large a chi-square on.
+LEAST_SEEN, LEAST_TELLING = 4, 12
 BROADCAST_SITES = 20_000
 _BITS = 20
 _SHAPES = 8
@@ -107,9 +109,9 @@ def fit_linear(rows: list[np.ndarray], label: np.ndarray, features: int = FEATUR
     with_label = np.bincount(at, weights=label[owner], minlength=len(kinds))
     expected = seen * good / n
     telling = (with_label - expected) ** 2 / np.maximum(expected * (1 - good / n) * (1 - seen / (n + 1)), 1e-9)
-    telling[seen < 8] = 0
+    telling[seen < LEAST_SEEN] = 0
     chosen = np.argsort(-telling, kind="stable")[:features]
-    chosen = chosen[telling[chosen] > 12]
+    chosen = chosen[telling[chosen] > LEAST_TELLING]
     place = np.full(len(kinds), -1)
     place[chosen] = np.arange(len(chosen))
     x = np.zeros((n, len(chosen) + 1), np.float32)
@@ -198,5 +200,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     sites = write_shared(sites.select("host", "path", *[f"{level}_{t}" for t in targets for level in ("host", "path")]), "site-rates").frame
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
     odds = lambda t: F.col(t) + _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(f"path_{t}"))))
-    scored = evidence.join(sites, ["host", "path"]).select("doc_id", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")])
-    return scored.withColumn("kept", (F.col("quality_probability") >= good_from) & (F.col("toxic_probability") < toxic_from))
+    scored = evidence.join(sites, ["host", "path"]).select("doc_id", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")], (F.col("toxic") > 0).alias("speaks"))
+    rejected = (F.col("quality_probability") < good_from) | (F.col("speaks") & (F.col("toxic_probability") >= toxic_from))
+    return scored.withColumn("kept", ~rejected).drop("speaks")
