@@ -16,31 +16,34 @@ from pyspark.sql import functions as F
 
 from quernlake.llm import bag_minhash, line_templates, merge_automaton, site_quality, template_leaks
 from quernlake.llm.queries import tokenizer_path
-from quernlake.llm.rows import text_of
 from quernlake.shared import write_shared
 from quernlake.sources.tables import table
 
 
+def _having(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs whose id is among those found; null is an id like others."""
+    ids = found.select(F.col("doc_id").alias("_found_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_found_id"]), "left_semi")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = site_quality.classify(docs, table(spark, sf_dir, "labels")).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return _having(docs, site_quality.classify(docs, table(spark, sf_dir, "labels")).where("kept"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring(docs)
-    emptied = (F.col("_n_dropped") > 0) & (F.trim(text_of("text")) == "")
-    found = found.where(~emptied)
-    return found.select([F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    emptied = (F.col("n_dropped") > 0) & (F.trim(F.col("row.text")) == "")
+    columns = [F.length("row.text").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.where(~emptied).select(columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = bag_minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.distinct(), "doc_id", "left_semi").select(docs.columns)
+    return _having(docs, bag_minhash.near_duplicates(docs).where("kept"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = template_leaks.with_leaks(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("items") == 0).select(docs.columns)
+    return found.where(F.size("items") == 0).select("row.*")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ tokens and its first LEADING masked tokens. In a leaf with different masked line
 token that most of them have there; a line that agrees with it at SIMILAR of the places or more belongs to it,
 another line is a template of its own. A template recurs if it stands between at least MIN_CONTEXTS different pairs of
 neighbouring leaves, in two documents or more: copies of one document share their neighbours and are left to document
-dedup. Of a recurring template the line of the smallest (doc_id, place) stays and all others are dropped.
+dedup. Lines of over LONG_TOKENS tokens are no coincidence: two contexts are enough (if only two occur in their leaf, then
+without another line in it). Of a recurring template the line of the smallest (doc_id, place) stays and all others are dropped.
 
 The choice at each place depends on counts only, so neither the order of the lines nor of the tasks matters, and no
 leaf is ever collected: every step is a pre-aggregated grouping or an equi-join, whose hot keys are split at run time.
@@ -26,6 +27,7 @@ LEADING = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
 MIN_CONTEXTS = 3
+LONG_TOKENS, LONG_CONTEXTS = 50, 2
 #: Bits by which lines are sieved before the join with their leaves.
 SIEVE_BITS = 24
 
@@ -36,7 +38,8 @@ def _lines(text: str) -> Column:
 
 def masked(line: Column) -> Column:
     """The line with its variable fields replaced and its white space reduced."""
-    line = F.trim(F.regexp_replace(line, r"\s+", " "))
+    uneven = line.contains("  ") | line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\f")
+    line = F.trim(F.when(uneven, F.regexp_replace(line, r"\s+", " ")).otherwise(line))
     return F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, r"\S*(?:[0-9@]|://)\S*", "<*>")).otherwise(line)
 
 
@@ -52,12 +55,18 @@ def _parsed(docs: DataFrame, leading: int, min_tokens: int, with_text: bool) ->
     return rows.select("doc_id", "key", F.inline(F.filter(whole, lambda x: x["n"] >= min_tokens)))
 
 
+def _needed(n: Column, min_contexts: int) -> Column:
+    return F.when(n > LONG_TOKENS, min(LONG_CONTEXTS, min_contexts)).otherwise(min_contexts)
+
+
 def recurring_leaves(docs: DataFrame, leading: int, min_tokens: int, min_contexts: int) -> DataFrame:
     """(leaf, mixed) of the leaves in which a template can recur: enough contexts and two texts. mixed: with different masked lines."""
     lines = _parsed(docs, leading, min_tokens, False)
-    contexts = lines.groupBy("leaf", "context").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("line").alias("a"), F.max("line").alias("b"))
-    leaves = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"))
-    return leaves.where((F.col("n") >= min_contexts) & (F.col("low") != F.col("high"))).select("leaf", (F.col("a") != F.col("b")).alias("mixed"))
+    contexts = lines.groupBy("leaf", "context").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("line").alias("a"), F.max("line").alias("b"), F.first("n").alias("tokens"))
+    leaves = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"), F.first("tokens").alias("tokens"))
+    mixed = F.col("a") != F.col("b")
+    enough = (F.col("n") >= min_contexts) | (~mixed & (F.col("n") >= _needed(F.col("tokens"), min_contexts)))
+    return leaves.where(enough & (F.col("low") != F.col("high"))).select("leaf", mixed.alias("mixed"))
 
 
 def _sieve(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -71,7 +80,7 @@ def _sieve(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def line_templates(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """doc_id, key, pos, context, template of each line whose template may recur; docs has doc_id and text without null.
+    """doc_id, key, pos, context, template, needed (contexts) of each line whose template may recur; docs has doc_id and text without null.
 
     Texts are read twice: first only hashes go to the leaves' contexts, then only lines of leaves in which something can
     recur, a small part of a corpus, are carried on.
@@ -84,26 +93,29 @@ def line_templates(docs: DataFrame, leading: int = LEADING, min_tokens: int = MI
     places = write_shared(places, "line-places").frame
     usual = places.groupBy("leaf", "place", "token").count().groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("usual"))
     same = places.join(usual, ["leaf", "place"]).groupBy("leaf", "line", "n").agg(F.sum((F.col("token") == F.col("usual")).cast("int")).alias("agree")).where(F.col("agree") >= F.col("n") * similar).select("leaf", "line", F.lit(True).alias("general"))
-    found = lines.select("doc_id", "key", "pos", "leaf", "line", "context").join(same, ["leaf", "line"], "left")
-    return found.select("doc_id", "key", "pos", "context", F.when(F.col("general"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"))
+    found = lines.select("doc_id", "key", "pos", "n", "leaf", "line", "context").join(same.drop("n"), ["leaf", "line"], "left")
+    return found.select("doc_id", "key", "pos", "context", F.when(F.col("general"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), _needed(F.col("n"), min_contexts).alias("needed"))
 
 
 def dropped_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, **tree) -> DataFrame:
     """doc_id, key, and the places of the lines that are dropped, for each text with such lines."""
     lines = write_shared(line_templates(docs, min_contexts=min_contexts, **tree), "line-templates").frame
     here = F.struct("doc_id", "key", "pos")
-    contexts = lines.groupBy("template", "context").agg(F.min(here).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"))
-    recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= min_contexts) & (F.col("low") != F.col("high")))
+    contexts = lines.groupBy("template", "context").agg(F.min(here).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.first("needed").alias("needed"))
+    recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= F.col("needed")) & (F.col("low") != F.col("high")))
     again = lines.join(recurring.select("template", "first"), "template").where(here != F.col("first"))
     return again.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
 
 
 def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """The rows of docs, with their columns, without the recurring lines; n_lines and n_dropped are added as _n_lines and _n_dropped."""
-    found = dropped_lines(id_and_text(docs, id_col, text_col), **limits).select(F.col("doc_id").alias("_of"), F.col("key").alias("_key_of"), F.col("places").alias("_places"))
-    rows = docs.withColumn("_lines", F.split(text_of(text_col), "\n")).withColumn("_key", F.xxhash64(text_of(text_col)))
-    joined = rows.join(found, F.col(id_col).cast("long").eqNullSafe(F.col("_of")) & (F.col("_key") == F.col("_key_of")), "left")
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_places"))
-    text = F.when(F.col("_places").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return joined.select(*columns, F.size("_lines").alias("_n_lines"), F.coalesce(F.size("_places"), F.lit(0)).alias("_n_dropped"))
+    """row (all columns of docs, the text without its recurring lines), n_lines and n_dropped, for each row of docs.
+
+    The row is one struct, so no name of a column of docs can clash with one of this operator.
+    """
+    found = dropped_lines(id_and_text(docs, id_col, text_col), **limits).select(F.col("doc_id").alias("of"), F.col("key").alias("key_of"), "places")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.split(text_of(text_col), "\n").alias("lines"), F.xxhash64(text_of(text_col)).alias("key"))
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("key_of")), "left")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("places"))
+    text = F.when(F.col("places").isNull(), F.col("row")[text_col]).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
+    row = F.struct(*[(text if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return joined.select(row.alias("row"), F.size("lines").alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).alias("n_dropped"))

@@ -70,7 +70,7 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op7_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_templates.drop_recurring(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.coalesce("text", F.lit("")).alias("text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.coalesce("row.text", F.lit("")).alias("text"))
 
 
 def op8_license_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

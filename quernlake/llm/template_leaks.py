@@ -185,23 +185,23 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """doc_id, items (ids that the text leaks, ascending), contaminated and kept; one row for each row of docs."""
     found = with_leaks(id_and_text(docs, id_col, text_col), benchmark, **names)
-    return found.select("doc_id", "items", (F.size("items") > 0).alias("contaminated"), (F.size("items") == 0).alias("kept"))
+    return found.select("row.doc_id", "items", (F.size("items") > 0).alias("contaminated"), (F.size("items") == 0).alias("kept"))
 
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
-    """docs with a column items; all other columns stay as they are."""
-    result = docs.withColumn("items", F.array().cast("array<long>"))
+    """row (all columns of docs as a struct, whatever their names) and items, for each row of docs."""
+    result = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"), F.array().cast("array<long>").alias("items"))
     for block in blocks(benchmark, **names):
-        result = result.mapInArrow(_pass_over(block, text_col), result.schema)
-    return result
+        result = result.mapInArrow(_pass_over(block), result.schema)
+    return result.select("row", "items")
 
 
-def _pass_over(block: Block, text_col: str):
+def _pass_over(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, text_col):
+        for batch in steps(batches):
             at = batch.schema.get_field_index("items")
             lists = batch.column(at).to_pylist()
-            for text, item in leaks(batch.column(text_col).fill_null(""), block):
+            for text, item in leaks(batch.column("text"), block):
                 lists[text] = sorted({*lists[text], int(block.ids[item])})
             yield batch.set_column(at, "items", pa.array(lists, pa.list_(pa.int64())))
 
