@@ -53,11 +53,11 @@ def read_csv_corpus(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def _values(script: str) -> Iterator[tuple[str, list[str | None]]]:
     """(table, fields) of every row of the INSERT statements."""
-    field = r"\s*(?:'((?:[^']|'')*)'|([^,()']+?))\s*"
+    field = r"\s*(?:'((?:[^']|'')*)'|([^,()'\s][^,()']*))\s*"
     row = re.compile(rf"\(({field}(?:,{field})*)\)")
     for statement in re.finditer(r"INSERT\s+INTO\s+([\w.]+)\s*(?:\([^)]*\))?\s*VALUES\s*((?:[^';]|'(?:[^']|'')*')*);", script, re.I):
         for found in row.finditer(statement[2]):
-            yield statement[1].rsplit(".", 1)[-1].lower(), [a.replace("''", "'") if b == "" else None if b.upper() == "NULL" else b for a, b in re.findall(field, found[1])]
+            yield statement[1].rsplit(".", 1)[-1].lower(), [a.replace("''", "'") if b == "" else None if b.strip().upper() == "NULL" else b.strip() for a, b in re.findall(field, found[1])]
 
 
 def load_script(spark: SparkSession, path: str, schemas: dict[str, str] = MASTERS) -> dict[str, DataFrame]:
