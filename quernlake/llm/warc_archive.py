@@ -48,8 +48,10 @@ def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: s
     block = b"" if revisit else payload
     lines = ["WARC-Type: " + ("revisit" if revisit else "response"), f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {_DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
     if url is not None:
-        lines.append("WARC-Target-URI: " + quote(url, safe=":/?#[]@!$&'()*+,;=%~-._"))
-        lines.append("X-Target: " + quote(url, safe=""))
+        uri = quote(url, safe=":/?#[]@!$&'()*+,;=%~-._")
+        lines.append("WARC-Target-URI: " + uri)
+        if unquote(uri) != url:  # the url has escapes of its own
+            lines.append("X-Target: " + quote(url, safe=""))
     if revisit:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     lines += ["Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]
@@ -61,11 +63,18 @@ def parse_header(head: bytes) -> dict[str, str]:
 
 
 def with_references(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, refers_to."""
+    """page_id, url, packed (the payload, compressed before the shuffle), size, digest, refers_to."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    first = rows.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first != last").select("digest", "first")
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
+    first = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first != last").select("digest", "first")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = pa.array([pa.compress(x.as_buffer(), "zstd", asbytes=True) for x in batch.column("payload")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), batch.column("digest"), batch.column("size"), packed], ["page_id", "url", "digest", "size", "packed"])
+
+    rows = rows.mapInArrow(pack, "page_id long, url string, digest string, size long, packed binary")
+    return rows.join(first, "digest", "left").select("page_id", "url", "packed", "size", "digest", F.when(F.col("first") != F.col("page_id"), F.col("first")).alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, **columns) -> DataFrame:
@@ -74,7 +83,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers_to")), strict=True))
+        rows = (row for batch in batches for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "packed", "size", "digest", "refers_to")), strict=True))
         for number in range(1 << 30):
             first = next(rows, None)
             if first is None:
@@ -82,8 +91,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
 
             def records(out, first=first) -> tuple[int, int]:
                 size = count = 0
-                for row in chain([first], rows):
-                    made = record_bytes(*row)
+                for page_id, url, packed, length, digest, refers_to in chain([first], rows):
+                    made = record_bytes(page_id, url, pa.decompress(packed, length, "zstd", asbytes=True) if length else b"", digest, refers_to)
                     out.write(made)
                     size, count = size + len(made), count + 1
                     if size >= file_bytes:
@@ -97,10 +106,20 @@ def write_archives(pages: DataFrame, folder: str | None = None, file_bytes: int
     return write_shared(with_references(pages, **columns).mapInArrow(run, "file string, bytes long, records long"), "warc-files").frame
 
 
-def _chunks(files: DataFrame, chunk_bytes: int) -> DataFrame:
-    """file, bytes, chunk (start), dealt evenly to the tasks."""
-    cut = files.select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0), F.col("bytes") - 1), F.lit(chunk_bytes).cast("long"))).alias("chunk"))
-    return cut.repartition("file", "chunk")
+def _dealt(places: DataFrame, tasks: int) -> DataFrame:
+    """(file, chunk, ...) over a task for each chunk, up to a limit: AQE would put rows this small into one task."""
+    return places.repartition(max(1, min(tasks, 100_000)), "file_no", "chunk")
+
+
+def _numbered(files: DataFrame) -> DataFrame:
+    """file_no, file, bytes: the numbers are fixed once the table is written."""
+    return write_shared(files.select("file", "bytes").where("bytes > 0").withColumn("file_no", F.monotonically_increasing_id()), "warc-numbers").frame
+
+
+def _count_chunks(files: DataFrame, chunk_bytes: int) -> tuple[int, int]:
+    """Of all files, and of the largest."""
+    n = F.ceil(F.col("bytes") / chunk_bytes)
+    return tuple(int(x or 0) for x in files.agg(F.sum(n), F.max(n)).first())
 
 
 def candidates_in(data: bytes, start: int, size: int) -> dict[int, int]:
@@ -116,11 +135,13 @@ def candidates_in(data: bytes, start: int, size: int) -> dict[int, int]:
 
 
 def record_links(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(file, chunk, at, next): for each candidate the first offset of its chain beyond its chunk."""
+    """(file_no, chunk, at, next): for each candidate the first offset of its chain beyond its chunk."""
+    starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(chunk_bytes).cast("long"))
+    places = _dealt(files.select("file_no", "file", F.explode(starts).alias("chunk")), _count_chunks(files, chunk_bytes)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, chunk in zip(batch.column("file").to_pylist(), batch.column("chunk").to_pylist(), strict=True):
+            for number, file, chunk in zip(*(batch.column(c).to_pylist() for c in ("file_no", "file", "chunk")), strict=True):
                 store, path = opened(file)
                 with store.open_input_file(path) as source:
                     source.seek(chunk)
@@ -130,29 +151,29 @@ def record_links(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                     beyond[at] = beyond.get(found[at], found[at]) if found[at] < chunk + chunk_bytes else found[at]
                 # a chain that breaks inside the chunk keeps the offset where it broke, which no candidate has
                 at = np.array(sorted(beyond), np.int64)
-                yield pa.RecordBatch.from_pydict({"file": pa.array([file] * len(at), pa.string()), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "at": pa.array(at), "next": pa.array([beyond[x] for x in at.tolist()], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file_no": pa.array(np.full(len(at), number, np.int64)), "chunk": pa.array(np.full(len(at), chunk, np.int64)), "at": pa.array(at), "next": pa.array([beyond[x] for x in at.tolist()], pa.int64())})
 
-    return _chunks(files, chunk_bytes).select("file", "chunk").mapInArrow(run, "file string, chunk long, at long, next long")
+    return places.mapInArrow(run, "file_no long, chunk long, at long, next long")
 
 
 def chunk_entries(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(file, chunk, at): where the chain from the file's start enters each chunk, by pointer jumping."""
+    """(file_no, chunk, at): where the chain from the file's start enters each chunk, by pointer jumping over (file_no, file, bytes)."""
     links = write_shared(record_links(files, chunk_bytes), "warc-links").frame
-    reached = files.where("bytes > 0").select("file", F.lit(0).cast("long").alias("at"))
-    jump = links.select("file", "at", "next")
-    most = files.agg(F.max(F.ceil(F.col("bytes") / chunk_bytes))).first()[0] or 0
+    reached = files.select("file_no", F.lit(0).cast("long").alias("at"))
+    jump = links.select("file_no", "at", "next")
+    most = _count_chunks(files, chunk_bytes)[1]
     step = 1
     while step < most:
-        onward = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
+        onward = reached.join(jump, ["file_no", "at"]).select("file_no", F.col("next").alias("at"))
         reached = write_shared(reached.union(onward).distinct(), "warc-reached").frame
         step *= 2
         if step < most:
-            hop = jump.select("file", F.col("at").alias("next"), F.col("next").alias("over"))
-            jump = write_shared(jump.join(hop, ["file", "next"], "left").select("file", "at", F.coalesce("over", "next").alias("next")), "warc-jumps").frame
-    ended = files.where("bytes > 0").select("file", "bytes").join(reached.join(links, ["file", "at"]).select("file", F.col("next").alias("bytes")), ["file", "bytes"], "left_anti")
+            hop = jump.select("file_no", F.col("at").alias("next"), F.col("next").alias("over"))
+            jump = write_shared(jump.join(hop, ["file_no", "next"], "left").select("file_no", "at", F.coalesce("over", "next").alias("next")), "warc-jumps").frame
+    ended = files.join(reached.join(links, ["file_no", "at"]).select("file_no", F.col("next").alias("bytes")), ["file_no", "bytes"], "left_anti")
     if not ended.isEmpty():
         raise ValueError(f"the chain of records does not reach the end of {ended.first()['file']}")
-    return reached.join(links.select("file", "at", "chunk"), ["file", "at"])
+    return reached.join(links.select("file_no", "at", "chunk"), ["file_no", "at"])
 
 
 def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
@@ -160,7 +181,8 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
 
     The digest and length of a response are computed from what was read and compared with its header.
     """
-    entries = chunk_entries(files, chunk_bytes)
+    files = _numbered(files)
+    entries = chunk_entries(files, chunk_bytes).join(files, "file_no").select("file_no", "file", "chunk", "at")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,7 +203,7 @@ def read_archives(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame
                 if rows:
                     yield _batch(rows)
 
-    return entries.select("file", "chunk", "at").repartition("file", "chunk").mapInArrow(run, _SCHEMA)
+    return _dealt(entries, _count_chunks(files, chunk_bytes)[0]).mapInArrow(run, _SCHEMA)
 
 
 _SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, file string, at long"
@@ -212,6 +234,6 @@ def _read_record(source, file: str, at: int) -> tuple[tuple, int]:
     response = fields["warc-type"] == "response"
     if response and (len(block) != size or hashlib.sha256(block).hexdigest() != digest):
         raise ValueError(f"the payload at {at} of {file} is damaged")
-    url = fields.get("x-target")
+    url = fields.get("x-target", fields.get("warc-target-uri"))
     row = (_page(fields.get("warc-record-id")), None if url is None else unquote(url), size, digest, fields["warc-type"], _page(fields.get("warc-refers-to")), block if response else None, file, at)
     return row, at + end + 4 + length + 4
