@@ -1,7 +1,8 @@
 """Benchmark decontamination by template canonicalisation.
 
 Tokens are words without outer punctuation, in lower case. A token with a digit becomes <number>, a unit after a number
-<unit>, a capitalised word inside a sentence <name>. Windows of WINDOW such tokens of the benchmark are a hash table
+<unit>, a capitalised word inside a sentence <name>; the benchmark's windows are also kept with names as plain words,
+for texts that lost their case. Windows of WINDOW such tokens of the benchmark are a hash table
 that the windows of all whole documents are joined with. Matches of one item along one alignment are taken together;
 its slots must be consistent: equal values of the benchmark's slots stand for equal values in the document, and
 different ones for different ones. So a question that was given other numbers and names is found, and a text that only
@@ -57,9 +58,10 @@ _tokens = Remembered(_token)
 
 @dataclass
 class Canonical:
-    """Tokens of some texts: what each stands for in a window, its value, whether it is a slot, and each text's first token."""
+    """Tokens of some texts: what each stands for in a window, also with names as they are, its value, whether it is a slot, and each text's first token."""
 
     stands: np.ndarray
+    named: np.ndarray
     value: np.ndarray
     slot: np.ndarray
     offsets: np.ndarray
@@ -85,18 +87,18 @@ def canonical(texts: pa.Array) -> Canonical:
     unit = np.zeros(len(kind), bool)
     unit[1:] = (kind[1:] == _MEASURE) & number[:-1]
     name = (kind == _CAPITAL) & ~starts
-    stands = np.select([number, unit, name], [np.uint64(_NUMBER), np.uint64(_UNIT), np.uint64(_NAME)], value)
-    return Canonical(stands, value, number | unit | name, offsets)
+    named = np.select([number, unit], [np.uint64(_NUMBER), np.uint64(_UNIT)], value)
+    return Canonical(np.where(name, np.uint64(_NAME), named), named, value, number | unit | name, offsets)
 
 
-def _windows(c: Canonical, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _windows(c: Canonical, size: int, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first token and hash of each window of `size` tokens inside a text with enough ordinary words."""
     n = np.diff(c.offsets)
     owner = np.repeat(np.arange(len(n)), n)
     at = np.flatnonzero(c.offsets[1:][owner] - np.arange(len(owner)) >= size)
     total = np.full(len(at), mix(np.array([size], np.uint64))[0])
     for k in range(size):
-        total = mix(total ^ c.stands[at + k])
+        total = mix(total ^ stands[at + k])
     words = np.concatenate([[0], np.cumsum(~c.slot)])
     enough = words[at + size] - words[at] >= min(LITERALS, size)
     return owner[at[enough]], at[enough], total[enough]
@@ -117,12 +119,15 @@ def block_of(items: list[tuple[int, str]]) -> Block:
     n = np.diff(c.offsets)
     windows, needed = {}, np.zeros(len(items), np.int64)
     for size in sorted({WINDOW, *(int(k) for k in n if SHORTEST <= k < WINDOW)}):
-        owner, at, hashed = _windows(c, size)
+        owner, at, hashed = _windows(c, size, c.stands)
+        named = _windows(c, size, c.named)[2]
         own = n[owner] >= WINDOW if size == WINDOW else n[owner] == size
-        owner, at, hashed = owner[own], at[own], hashed[own]
+        owner, at, hashed, named = owner[own], at[own], hashed[own], named[own]
+        needed += np.bincount(owner, minlength=len(items))
+        more = named != hashed  # a text without capitals has names as plain words
+        owner, at, hashed = np.concatenate([owner, owner[more]]), np.concatenate([at, at[more]]), np.concatenate([hashed, named[more]])
         order = np.argsort(hashed, kind="stable")
         windows[size] = (hashed[order], owner[order], at[order])
-        needed += np.bincount(owner, minlength=len(items))
     return Block(np.array([i for i, _ in items], np.int64), c, windows, np.minimum(needed, LEAST))
 
 
@@ -133,7 +138,7 @@ def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
     for size, (hashed, owner, at) in block.windows.items():
         if not len(hashed):
             continue
-        text, place, h = _windows(c, size)
+        text, place, h = _windows(c, size, c.stands)
         low, high = np.searchsorted(hashed, h, "left"), np.searchsorted(hashed, h, "right")
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
