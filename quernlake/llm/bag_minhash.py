@@ -9,26 +9,28 @@ and end once they are later than every component's first point, so a document co
 shingles plus COMPONENTS * ln(COMPONENTS).
 
 Signatures are banded. Texts with the same words are one document before that. In a bucket every member is compared
-with the smallest one, not with all others. Linked documents then are one component, and only pairs of a bucket whose
-components differ are still open: they are compared too, except those that the triangle inequality of the Jaccard
-distance rules out from their distances to the bucket's smallest member. So no link between two texts that share a
-bucket is lost, and no bucket is expanded into all its pairs. All links are exact: multisets are compared, not
-signatures.
+with the smallest one, not with all others, and linked documents are one component. What is left open are members of a
+bucket with more than one component that may still be linked: those that the triangle inequality of the Jaccard distance
+doesn't rule out from their distance to the bucket's smallest. Among these, pairs of different components are found by
+prefix filtering over their shingles, which misses none. So no link between two texts that share a bucket is lost, and no
+bucket is expanded into all its pairs. All links are exact: multisets are compared, not signatures.
 
 Cases: null counts as empty. Texts without a word are copies of each other. A text under five words has one shingle of
-all its words. Rows that share an id fall into one class, with all that is near one of them; a null id is an id like others.
+all its words. Ids are expected to be unique: every row gets a class even if not, but rows with one id and different words may share one.
+A null id is an id like others.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.rows import id_and_text
@@ -42,8 +44,10 @@ BANDS = 32
 ROWS_PER_BAND = 4
 COMPONENTS = BANDS * ROWS_PER_BAND
 NULL_ID = -(2**63)
-#: Open pairs for each row of the bands up to which they are compared at once; beyond, another member of each bucket is compared with the rest first.
-OPEN_PAIRS = 4
+#: Slots of the table of fixed size that tells rare tokens from frequent ones.
+SLOT_BITS = 20
+#: Tokens before a prefix token that its row carries.
+BEFORE = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -171,6 +175,74 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFram
     return pairs.select("a", "b").join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _tokens(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, token): a token for each occurrence of each shingle, so the Jaccard similarity of the token sets is the weighted one of the multisets."""
+    owner, shingle, weight = shingles(normal(texts), words)
+    at = np.repeat(np.arange(len(owner)), weight)
+    occurrence = (np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(np.uint64)
+    return owner[at], mix(shingle[at] + occurrence * _ODD[3])
+
+
+def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:
+    """How many tokens fall into each of 2^SLOT_BITS slots: a table of fixed size from which the rarity of a token is read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in steps(batches):
+            total += np.bincount((_tokens(batch.column("text"), words)[1] >> np.uint64(64 - SLOT_BITS)).astype(np.int64), minlength=1 << SLOT_BITS)
+        at = np.flatnonzero(total)
+        for k in range(0, len(at), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + 100_000].astype(np.int32)), pa.array(total[at[k : k + 100_000]])], ["slot", "n"])
+
+    found = texts.select("text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << SLOT_BITS, np.int32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return counts
+
+
+def prefix_tokens(texts: DataFrame, similarity: float, words: int = WORDS) -> DataFrame:
+    """(token, id, n, behind, q1...) of (id, text): the n - ceil(similarity * n) + 1 rarest tokens of each, with how many tokens from there on and the few just before."""
+    names = ["token", "id", "n", "behind", *(f"q{k}" for k in range(1, BEFORE + 1))]
+    counts = _slot_counts(texts, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in steps(batches):
+            owner, token = _tokens(batch.column("text"), words)
+            order = np.lexsort((token, counts[(token >> np.uint64(64 - SLOT_BITS)).astype(np.int64)], owner))
+            owner, token = owner[order], token[order]
+            n = np.bincount(owner, minlength=batch.num_rows)
+            place = np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+            head = place < (n - np.ceil(n * similarity - 1e-9).astype(np.int64) + 1)[owner]
+            owner, token, place = owner[head], token[head], place[head]
+            rows = pa.array(owner)
+            before = [pa.array(np.roll(token, k).view(np.int64), mask=place < k) for k in range(1, BEFORE + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), batch.column("id").take(rows), pa.array(n[owner]), pa.array(n[owner] - place), *before], names)
+
+    return write_shared(texts.select("id", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names)), "prefixes").frame
+
+
+def prefix_pairs(heads: DataFrame, component: DataFrame, similarity: float, everyone: bool = True) -> DataFrame:
+    """(a, b) with a < b: every pair of ids of different components (node, component) that may be similar enough.
+
+    Two sets of tokens this similar share one of the prefix tokens of each, whatever order "rarest" is; so members of a
+    large group meet by what few of them have. The first token that they share also leaves enough tokens behind it in both
+    for the overlap they need; a text with too many tokens of its own before it meets nobody. A
+    pair that shares one of the tokens just before has met there or still earlier. Without `everyone` only
+    the smallest id of a token's meets the others.
+    """
+    rows = heads.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = rows.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("token")
+    kept = write_shared(rows.join(mixed, "token", "left_semi"), "shared-prefixes").frame
+    first = kept if everyone else kept.groupBy("token").agg(F.min(F.struct(*[c for c in kept.columns if c != "token"])).alias("l")).select("token", "l.*")
+    a, b = first.alias("a"), kept.alias("b")
+    both = F.col("a.n") + F.col("b.n")
+    enough = F.least("a.behind", "b.behind") >= both * (similarity / (1 + similarity)) - 1e-6
+    again = reduce(Column.__or__, (F.coalesce(F.col(f"a.q{i}") == F.col(f"b.q{j}"), F.lit(False)) for i in range(1, BEFORE + 1) for j in range(1, BEFORE + 1)))
+    enough = enough & (~again if everyone else F.lit(True))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & enough)
+    return met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
     """One row per row of docs: doc_id, class_id (the smallest id of its class), kept (it is that id), copy_of (the smallest id with the same words)."""
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
@@ -185,33 +257,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = write_shared(texts, "texts").frame
 
     links = write_shared(verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, words), "links").frame
-    at_once, rounds = False, 0
-    while True:
-        rounds += 1
-        component = write_shared(connected_components(links.where(F.col("similarity") >= similarity)), "components").frame
-        state = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        state = state.join(links.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left").withColumn("distance", 1 - F.coalesce("similarity", F.lit(1.0)))
-        split = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-        # the leader itself has been compared with all others; what is farther from it than two links can be needs no comparison
-        state = write_shared(state.where("id != leader").join(split, "bucket", "left_semi").where(F.col("distance") <= 2 * (1 - similarity) + 1e-9).select("bucket", "id", "component", "distance"), "open").frame
-        sizes = state.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("count")).alias("same"))
-        total, most = sizes.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
-        if not total:
-            break
-        x, y = state.alias("x"), state.alias("y")
-        near = (F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - similarity + 1e-9) & (F.col("x.component") != F.col("y.component"))
-        if at_once or total <= OPEN_PAIRS * most + 100_000:
-            pairs, last = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & near), True
-        else:
-            lead = state.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id", F.lit(rounds)), "id", "component", "distance")).alias("l")).select("bucket", "l.id", "l.component", "l.distance")
-            pairs, last = lead.alias("x").join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") != F.col("y.id")) & near), False
-        pairs = pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct().join(links.select("a", "b"), ["a", "b"], "left_anti")
-        more = write_shared(verified(pairs, texts, words), "links").frame
-        at_once = more.isEmpty()  # then the chosen members' open pairs were all known
-        links = write_shared(links.unionByName(more), "links").frame
-        if last:
+    component = write_shared(connected_components(links.where(F.col("similarity") >= similarity)), "components").frame
+    state = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    state = state.join(links.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left").withColumn("distance", 1 - F.coalesce("similarity", F.lit(1.0)))
+    split = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
+    # the leader itself has been compared with all others; what is farther from it than two links can be needs no comparison
+    near = F.col("distance") <= 2 * (1 - similarity) + 1e-9
+    unsettled = write_shared(state.where("id != leader").join(split, "bucket", "left_semi").where(near).select("id").distinct(), "open").frame
+    if not unsettled.isEmpty():
+        heads = prefix_tokens(texts.join(unsettled, "id"), similarity, words)
+        for everyone in (False, True):  # first in linear time, which leaves fewer components apart
+            pairs = prefix_pairs(heads, component, similarity, everyone).join(links.select("a", "b"), ["a", "b"], "left_anti")
+            links = links.unionByName(write_shared(verified(pairs, texts, words), "links").frame)
             component = write_shared(connected_components(links.where(F.col("similarity") >= similarity)), "components").frame
-            break
     named = groups.select("words", F.col("id").alias("copy_of")).join(component.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
     found = sketches.select("doc_id", "words").join(named, "words").withColumn("class_id", F.coalesce("component", "copy_of"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
