@@ -9,11 +9,11 @@ and end once they are later than every component's first point, so a document co
 shingles plus COMPONENTS * ln(COMPONENTS).
 
 Signatures are banded. Texts with the same words are one document before that. In a bucket every member is compared
-with the smallest one, not with all others, and linked documents are one component. What is left open are members of a
-bucket with more than one component that may still be linked: those that the triangle inequality of the Jaccard distance
-doesn't rule out from their distance to the bucket's smallest. Among these, pairs of different components are found by
-prefix filtering over their shingles, which misses none. So no link between two texts that share a bucket is lost, and no
-bucket is expanded into all its pairs. All links are exact: multisets are compared, not signatures.
+with the smallest one, not with all others, and linked documents are one component. What is left open are the
+other members of each bucket with more than one component, however far they are from its smallest: two that are both far
+from it can be equal but for a word. Among these, pairs of different components are found by prefix filtering over their
+shingles, which misses none. So no link between two texts that share a bucket is lost, and no bucket is expanded into
+all its pairs. All links are exact: multisets are compared, not signatures.
 
 Cases: null counts as empty. Texts without a word are copies of each other. A text under five words has one shingle of
 all its words. Ids are expected to be unique: every row gets a class even if not, but rows with one id and different words may share one.
@@ -259,11 +259,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = write_shared(verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, words), "links").frame
     component = write_shared(connected_components(links.where(F.col("similarity") >= similarity)), "components").frame
     state = members.join(component.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    state = state.join(links.select(F.col("a").alias("leader"), F.col("b").alias("id"), "similarity"), ["leader", "id"], "left").withColumn("distance", 1 - F.coalesce("similarity", F.lit(1.0)))
     split = state.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("bucket")
-    # the leader itself has been compared with all others; what is farther from it than two links can be needs no comparison
-    near = F.col("distance") <= 2 * (1 - similarity) + 1e-9
-    unsettled = write_shared(state.where("id != leader").join(split, "bucket", "left_semi").where(near).select("id").distinct(), "open").frame
+    # the leader itself has been compared with all others; how far the others are from it says nothing about two that are equally far
+    unsettled = write_shared(state.where("id != leader").join(split, "bucket", "left_semi").select("id").distinct(), "open").frame
     if not unsettled.isEmpty():
         heads = prefix_tokens(texts.join(unsettled, "id"), similarity, words)
         for everyone in (False, True):  # first in linear time, which leaves fewer components apart

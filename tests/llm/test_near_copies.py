@@ -86,6 +86,26 @@ def test_prefix_pairs_miss_no_pair(spark):
     assert got >= {(i, j) for j in range(len(texts)) for i in range(j) if weighted(bags[i], bags[j]) >= 0.8}
 
 
+def test_near_copies_far_from_all_their_leaders(documents):
+    """Two near copies share passages with many smaller ids, which lead all their buckets and are like neither."""
+    rng = random.Random(5)
+    words = [f"w{k}" for k in range(5000)]
+    passage = lambda: [rng.choice(words) for _ in range(20)]
+    shared = [passage() for _ in range(10)]
+    flat = lambda passages: [w for p in passages for w in p]
+    rows = []
+    for k in range(200):
+        own = set(rng.sample(range(10), 3))
+        rows.append((k, " ".join(flat([passage() if j in own else shared[j] for j in range(10)]))))
+    one = flat(shared)
+    two = [*one[:70], "x", *one[71:150], "y", *one[151:]]
+    rows += [(1000, " ".join(one)), (1001, " ".join(two))]
+    bags = {i: shingles(t) for i, t in rows}
+    assert weighted(bags[1000], bags[1001]) >= 0.8 and all(weighted(bags[k], bags[j]) < 0.6 for k in range(200) for j in (1000, 1001))
+    got = {r.doc_id: r.class_id for r in bag_minhash.near_duplicates(documents(rows)).collect()}
+    assert got[1000] == got[1001] == 1000
+
+
 def test_a_large_family_of_copies_and_near_copies(documents):
     rng = random.Random(4)
     words = [f"w{k}" for k in range(5000)]
