@@ -3,10 +3,10 @@
 A line's variable fields (tokens with a digit, an @ or a scheme) are masked. Its leaf in the tree is its number of
 tokens and its first LEADING masked tokens. In a leaf with different masked lines, the template has at each place the
 token that most of them have there; a line that agrees with it at SIMILAR of the places or more belongs to it,
-another line is a template of its own. A template recurs if it stands between at least MIN_CONTEXTS different pairs of
-neighbouring leaves, in two documents or more: copies of one document share their neighbours and are left to document
-dedup. Lines of over LONG_TOKENS tokens are no coincidence: two contexts are enough (if only two occur in their leaf, then
-without another line in it). Of a recurring template the line of the smallest (doc_id, place) stays and all others are dropped.
+another line is a template of its own. A template recurs if at least MIN_CONTEXTS different documents have it, whatever
+stands around it, so all lines of a repeated block go. Copies and near copies are left to document dedup: they count as
+one document, by their classes under `bag_minhash`. Lines of over LONG_TOKENS tokens are no coincidence: two documents are
+enough. Of a recurring template the line of the smallest (doc_id, place) stays and all others are dropped.
 
 The choice at each place depends on counts only, so neither the order of the lines nor of the tasks matters, and no
 leaf is ever collected: every step is a pre-aggregated grouping or an equi-join, whose hot keys are split at run time.
@@ -20,12 +20,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quernlake.llm.bag_minhash import near_duplicates
 from quernlake.llm.rows import id_and_text, text_of
 from quernlake.shared import write_shared
 
 LEADING = 3
 MIN_TOKENS = 3
 SIMILAR = 0.7
+#: Documents that must have a template, near copies counted once.
 MIN_CONTEXTS = 3
 LONG_TOKENS, LONG_CONTEXTS = 50, 2
 #: Bits by which lines are sieved before the join with their leaves.
@@ -44,14 +46,13 @@ def masked(line: Column) -> Column:
 
 
 def _parsed(docs: DataFrame, leading: int, min_tokens: int, with_text: bool) -> DataFrame:
-    """doc_id, key (of the text), pos, n, leaf, line (hash of the masked line), context of each line that counts; the masked line itself on demand."""
+    """doc_id, key (of the text), pos, n, leaf, line (hash of the masked line) of each line that counts; the masked line itself on demand."""
     tokens = F.transform(F.transform(_lines("text"), masked), lambda m: F.split(m, " "))
     text = lambda t: [F.array_join(t, " ").alias("masked")] if with_text else []
     node = lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.slice(t, 1, leading)).alias("leaf"), F.xxhash64(t).alias("line"), *text(t))
     rows = docs.select("doc_id", F.xxhash64("text").alias("key"), F.transform(tokens, node).alias("nodes"))
-    beside = lambda i: F.coalesce(F.get(F.col("nodes"), i)["leaf"], F.lit(0))
     more = lambda x: [x["masked"].alias("masked")] if with_text else []
-    whole = F.transform("nodes", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["line"].alias("line"), F.xxhash64(beside(i - 1), beside(i + 1)).alias("context"), *more(x)))
+    whole = F.transform("nodes", lambda x, i: F.struct(i.alias("pos"), x["n"].alias("n"), x["leaf"].alias("leaf"), x["line"].alias("line"), *more(x)))
     return rows.select("doc_id", "key", F.inline(F.filter(whole, lambda x: x["n"] >= min_tokens)))
 
 
@@ -60,13 +61,11 @@ def _needed(n: Column, min_contexts: int) -> Column:
 
 
 def recurring_leaves(docs: DataFrame, leading: int, min_tokens: int, min_contexts: int) -> DataFrame:
-    """(leaf, mixed) of the leaves in which a template can recur: enough contexts and two texts. mixed: with different masked lines."""
+    """(leaf, mixed) of the leaves in which a template can recur: those of enough different texts. mixed: with different masked lines."""
     lines = _parsed(docs, leading, min_tokens, False)
-    contexts = lines.groupBy("leaf", "context").agg(F.min("key").alias("low"), F.max("key").alias("high"), F.min("line").alias("a"), F.max("line").alias("b"), F.first("n").alias("tokens"))
-    leaves = contexts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("a").alias("a"), F.max("b").alias("b"), F.first("tokens").alias("tokens"))
-    mixed = F.col("a") != F.col("b")
-    enough = (F.col("n") >= min_contexts) | (~mixed & (F.col("n") >= _needed(F.col("tokens"), min_contexts)))
-    return leaves.where(enough & (F.col("low") != F.col("high"))).select("leaf", mixed.alias("mixed"))
+    texts = lines.groupBy("leaf", "key").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.first("n").alias("tokens"))
+    leaves = texts.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.max("b").alias("b"), F.first("tokens").alias("tokens"))
+    return leaves.where(F.col("n") >= _needed(F.col("tokens"), min_contexts)).select("leaf", (F.col("a") != F.col("b")).alias("mixed"))
 
 
 def _sieve(lines: DataFrame, leaves: DataFrame) -> DataFrame:
@@ -80,29 +79,40 @@ def _sieve(lines: DataFrame, leaves: DataFrame) -> DataFrame:
 
 
 def line_templates(docs: DataFrame, leading: int = LEADING, min_tokens: int = MIN_TOKENS, similar: float = SIMILAR, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """doc_id, key, pos, context, template, needed (contexts) of each line whose template may recur; docs has doc_id and text without null.
+    """doc_id, key, pos, template, needed (documents) of each line whose template may recur; docs has doc_id and text without null.
 
-    Texts are read twice: first only hashes go to the leaves' contexts, then only lines of leaves in which something can
+    Texts are read twice: first only hashes go to the leaves, then only lines of leaves in which something can
     recur, a small part of a corpus, are carried on.
     """
     leaves = write_shared(recurring_leaves(docs, leading, min_tokens, min_contexts), "leaves").frame
     lines = _sieve(_parsed(docs, leading, min_tokens, True), leaves).join(leaves, "leaf")
-    lines = write_shared(lines.select("doc_id", "key", "pos", "n", "leaf", "mixed", "line", "context", "masked"), "lines").frame
+    lines = write_shared(lines.select("doc_id", "key", "pos", "n", "leaf", "mixed", "line", "masked"), "lines").frame
     distinct = lines.where("mixed").groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("n").alias("n"))
     places = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "line", "n", "place", F.xxhash64("token").alias("token"))
     places = write_shared(places, "line-places").frame
     usual = places.groupBy("leaf", "place", "token").count().groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("usual"))
     same = places.join(usual, ["leaf", "place"]).groupBy("leaf", "line", "n").agg(F.sum((F.col("token") == F.col("usual")).cast("int")).alias("agree")).where(F.col("agree") >= F.col("n") * similar).select("leaf", "line", F.lit(True).alias("general"))
-    found = lines.select("doc_id", "key", "pos", "n", "leaf", "line", "context").join(same.drop("n"), ["leaf", "line"], "left")
-    return found.select("doc_id", "key", "pos", "context", F.when(F.col("general"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), _needed(F.col("n"), min_contexts).alias("needed"))
+    found = lines.select("doc_id", "key", "pos", "n", "leaf", "line").join(same.drop("n"), ["leaf", "line"], "left")
+    return found.select("doc_id", "key", "pos", F.when(F.col("general"), F.col("leaf")).otherwise(F.xxhash64("leaf", "line")).alias("template"), _needed(F.col("n"), min_contexts).alias("needed"))
+
+
+def _near_copies(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, class) of the texts with these keys: near copies have the same class."""
+    holders = docs.select(F.xxhash64("text").alias("key"), "text").join(keys, "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    found = near_duplicates(write_shared(holders, "template-holders").frame, "key", "text")
+    return found.select(F.col("doc_id").alias("key"), F.coalesce("class_id", "doc_id").alias("class"))
 
 
 def dropped_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, **tree) -> DataFrame:
     """doc_id, key, and the places of the lines that are dropped, for each text with such lines."""
     lines = write_shared(line_templates(docs, min_contexts=min_contexts, **tree), "line-templates").frame
     here = F.struct("doc_id", "key", "pos")
-    contexts = lines.groupBy("template", "context").agg(F.min(here).alias("first"), F.min("key").alias("low"), F.max("key").alias("high"), F.first("needed").alias("needed"))
-    recurring = contexts.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where((F.col("n") >= F.col("needed")) & (F.col("low") != F.col("high")))
+    texts = lines.groupBy("template", "key").agg(F.min(here).alias("first"), F.first("needed").alias("needed"))
+    enough = texts.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed")).where(F.col("n") >= F.col("needed")).select("template")
+    texts = write_shared(texts.join(enough, "template", "left_semi"), "template-texts").frame
+    classes = _near_copies(docs, texts.select("key").distinct())
+    apart = texts.join(classes, "key").groupBy("template", "class").agg(F.min("first").alias("first"), F.first("needed").alias("needed"))
+    recurring = apart.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.first("needed").alias("needed"), F.min("first").alias("first")).where(F.col("n") >= F.col("needed"))
     again = lines.join(recurring.select("template", "first"), "template").where(here != F.col("first"))
     return again.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
 

@@ -112,6 +112,23 @@ def test_recurring_templates_go(documents):
     assert sum("Posted on" in t for t, _ in got.values()) == 1
 
 
+def test_blocks_of_lines_go_whole_and_near_copies_stay(documents):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = lambda: " ".join(word() for _ in range(8))
+    block = [own() for _ in range(5)]
+    rows = [(k, "\n".join([own(), own(), "", *block, "", own(), own(), own(), own()])) for k in range(10)]
+    base = [own() for _ in range(30)]
+    for k in range(6):
+        at = 3 + 4 * k
+        rows.append((100 + k, "\n".join([*base[:at], own(), *base[at + 1 :]])))
+    got = {r.row.doc_id: (r.row.text, r.n_dropped) for r in line_templates.drop_recurring(documents(rows)).collect()}
+    assert got[0] == (rows[0][1], 0)
+    for k, text in rows[1:10]:
+        assert got[k] == ("\n".join(x for x in text.split("\n") if x not in block), 5)
+    assert all(got[i] == (text, 0) for i, text in rows[10:])
+
+
 def test_line_rows_keep_their_columns(odd, nothing):
     got = line_templates.drop_recurring(odd)
     assert Counter((r.row.doc_id, r.row.text, r.row.key, r.row.items) for r in got.collect()) == Counter((r.doc_id, r.text, r.key, r["items"]) for r in odd.collect())
