@@ -2,7 +2,8 @@
 
 Tokens are words without outer punctuation, in lower case. A token with a digit becomes <number>, a unit after a number
 <unit>, a capitalised word inside a sentence <name>; the benchmark's windows are also kept with names as plain words,
-for texts that lost their case. Windows of WINDOW such tokens of the benchmark are a hash table
+for texts that lost their case. A capitalised word at the start of a sentence or line may be either, so on both sides
+windows are looked up in each reading of up to OPENINGS such words (with more: all plain or all names). Windows of WINDOW such tokens of the benchmark are a hash table
 that the windows of all whole documents are joined with. Matches of one item along one alignment are taken together;
 its slots must be consistent: equal values of the benchmark's slots stand for equal values in the document, and
 different ones for different ones. So a question that was given other numbers and names is found, and a text that only
@@ -23,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import DataFrame
@@ -37,6 +39,8 @@ LEAST = 6
 SHORTEST = 4
 LITERALS = 4
 BLOCK_TOKENS = 500_000
+#: Capitalised starts of sentences in a window of which every reading is looked up.
+OPENINGS = 4
 UNITS = frozenset("% percent mm cm m km mile miles foot feet inch inches yard yards mg g kg ton tons tonne tonnes gram grams kilogram kilograms ounce ounces pound pounds lb lbs ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents rupee rupees mph kmh kph degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons".split())
 _EDGES = regex.compile(r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$")
 _NUMBER, _UNIT, _NAME = (xxhash.xxh3_64_intdigest(x) for x in ("<number>", "<unit>", "<name>"))
@@ -58,17 +62,18 @@ _tokens = Remembered(_token)
 
 @dataclass
 class Canonical:
-    """Tokens of some texts: what each stands for in a window, also with names as they are, its value, whether it is a slot, and each text's first token."""
+    """Tokens of some texts: what each stands for in a window, also with names as they are, its value, whether it is a slot, whether it is a capitalised start of a sentence, and each text's first token."""
 
     stands: np.ndarray
     named: np.ndarray
     value: np.ndarray
     slot: np.ndarray
+    opens: np.ndarray
     offsets: np.ndarray
 
 
 def canonical(texts: pa.Array) -> Canonical:
-    distinct, which, offsets = chunks(texts)
+    distinct, which, offsets = chunks(pc.replace_substring(texts, "\n", " . "))  # a line starts a sentence
     found = _tokens.all(distinct.to_pylist())
     n = len(found)
     value = np.fromiter((x[0] for x in found), np.uint64, n)[which]
@@ -79,7 +84,7 @@ def canonical(texts: pa.Array) -> Canonical:
     first = offsets[:-1][np.diff(offsets) > 0]
     starts[first] = True
     full = kind != _NOTHING
-    for at in np.flatnonzero(~full[:-1]) if len(full) else ():  # a bare mark hands the start of a sentence on
+    for at in np.flatnonzero(~full[:-1] & ~ends[:-1]) if len(full) else ():  # a bare mark hands the start of a sentence on
         starts[at + 1] |= starts[at]
     offsets = np.concatenate([[0], np.cumsum(full)])[offsets]
     value, kind, starts = value[full], kind[full], starts[full]
@@ -88,7 +93,7 @@ def canonical(texts: pa.Array) -> Canonical:
     unit[1:] = (kind[1:] == _MEASURE) & number[:-1]
     name = (kind == _CAPITAL) & ~starts
     named = np.select([number, unit], [np.uint64(_NUMBER), np.uint64(_UNIT)], value)
-    return Canonical(np.where(name, np.uint64(_NAME), named), named, value, number | unit | name, offsets)
+    return Canonical(np.where(name, np.uint64(_NAME), named), named, value, number | unit | name, (kind == _CAPITAL) & starts, offsets)
 
 
 def _windows(c: Canonical, size: int, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -104,6 +109,31 @@ def _windows(c: Canonical, size: int, stands: np.ndarray) -> tuple[np.ndarray, n
     return owner[at[enough]], at[enough], total[enough]
 
 
+def _readings(c: Canonical, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in `at` and hash of the windows' further readings, in which capitalised starts of sentences are names, with enough ordinary words."""
+    before = np.concatenate([[0], np.cumsum(c.opens)])
+    words = np.concatenate([[0], np.cumsum(~c.slot)])
+    opening = np.flatnonzero(c.opens)
+    many, plain = before[at + size] - before[at], words[at + size] - words[at]
+    index, hashed = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for k in range(1, int(many.max(initial=0)) + 1):
+        for mask in range(1, 1 << k) if k <= OPENINGS else ((1 << k) - 1,):
+            use = np.flatnonzero((many == k) & (plain - mask.bit_count() >= min(LITERALS, size)))
+            if not len(use):
+                continue
+            first = at[use]
+            names = [opening[before[first] + j] - first for j in range(k) if mask >> j & 1]
+            total = np.full(len(use), mix(np.array([size], np.uint64))[0])
+            for j in range(size):
+                name = np.zeros(len(use), bool)
+                for x in names:
+                    name |= x == j
+                total = mix(total ^ np.where(name, np.uint64(_NAME), c.stands[first + j]))
+            index.append(use)
+            hashed.append(total)
+    return np.concatenate(index), np.concatenate(hashed)
+
+
 @dataclass
 class Block:
     """The windows of some items, by size: hashes ascending, with the item, its place and the tokens themselves."""
@@ -126,6 +156,8 @@ def block_of(items: list[tuple[int, str]]) -> Block:
         needed += np.bincount(owner, minlength=len(items))
         more = named != hashed  # a text without capitals has names as plain words
         owner, at, hashed = np.concatenate([owner, owner[more]]), np.concatenate([at, at[more]]), np.concatenate([hashed, named[more]])
+        index, read = _readings(c, size, at[: int(own.sum())])
+        owner, at, hashed = np.concatenate([owner, owner[index]]), np.concatenate([at, at[index]]), np.concatenate([hashed, read])
         order = np.argsort(hashed, kind="stable")
         windows[size] = (hashed[order], owner[order], at[order])
     return Block(np.array([i for i, _ in items], np.int64), c, windows, np.minimum(needed, LEAST))
@@ -139,6 +171,8 @@ def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
         if not len(hashed):
             continue
         text, place, h = _windows(c, size, c.stands)
+        index, read = _readings(c, size, place)
+        text, place, h = np.concatenate([text, text[index]]), np.concatenate([place, place[index]]), np.concatenate([h, read])
         low, high = np.searchsorted(hashed, h, "left"), np.searchsorted(hashed, h, "right")
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]
@@ -159,7 +193,7 @@ def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
     found = set()
     for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(docs)], strict=True):
         pair = (int(docs[a]), int(items[a]))
-        if b - a >= block.needed[items[a]] and pair not in found and _consistent(c, block.tokens, places[a:b], int(sizes[a]), int(shifts[a])):
+        if b - a >= block.needed[items[a]] and len(np.unique(places[a:b])) >= block.needed[items[a]] and pair not in found and _consistent(c, block.tokens, places[a:b], int(sizes[a]), int(shifts[a])):
             found.add(pair)
     return sorted(found)
 
@@ -167,7 +201,7 @@ def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
 def _consistent(c: Canonical, bench: Canonical, places: np.ndarray, size: int, shift: int) -> bool:
     """Whether the slots of the aligned windows map one to one."""
     covered = np.unique((places[:, None] + np.arange(size)).ravel())
-    covered = covered[c.slot[covered]]
+    covered = covered[c.slot[covered] | (c.value[covered] != bench.value[covered - shift])]
     there: dict[int, int] = {}
     back: dict[int, int] = {}
     return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(bench.value[covered - shift].tolist(), c.value[covered].tolist(), strict=True))

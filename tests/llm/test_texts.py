@@ -167,6 +167,21 @@ def test_slots_must_be_consistent(spark, documents):
     assert got == {1: [1], 2: []}
 
 
+def test_leaks_after_headings_and_with_other_names_at_sentence_starts(spark, documents):
+    short = "Which of the seven rivers flows through the old northern town?"
+    apples = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have?"
+    bench = spark.createDataFrame([(1, short), (2, apples)], "item_id long, text string")
+    rows = [
+        (1, "Question 5\n" + short),
+        (2, "Question 5 " + short),
+        (3, apples.replace("Tom", "Ann").replace("3", "4")),
+        (4, "So Ann has 3 apples. Ann buys 5 more apples, how many apples does Ann have?"),
+        (5, "Ann has 3 apples. Bob buys 5 more apples. How many apples does Eva have?"),
+    ]
+    got = {r.doc_id: r["items"] for r in template_leaks.leaked_items(documents(rows), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [2], 4: [2], 5: []}
+
+
 def test_leak_query_against_searching_every_document(spark):
     sf = "/root/testdata/sf0.001"
     plain = lambda t: re.sub(r"\W+", " ", t.lower()).strip()
