@@ -12,8 +12,9 @@ has the same shape is not. A document leaks an item if at least LEAST windows (o
 The benchmark is read in blocks of at most BLOCK_TOKENS tokens; each block is one pass over the documents, so the table
 that the workers hold is bounded whatever the size of the benchmark, and there is no shuffle.
 
-Cases: null counts as empty. Items under WINDOW tokens are one window of their own length; items under SHORTEST tokens
-or windows with fewer than LITERALS ordinary words are left out, as anything would match them. Equal items are all
+Cases: null counts as empty. Items under WINDOW tokens are one window of their own length; windows with fewer than
+LITERALS ordinary words are left out, as anything would match them, but an item of only such windows is matched with its
+numbers and names as they are. Items under SHORTEST tokens are left out. Equal items are all
 reported. Documents are neither merged nor dropped here. An empty benchmark leaks nowhere.
 """
 
@@ -39,11 +40,14 @@ LEAST = 6
 SHORTEST = 4
 LITERALS = 4
 BLOCK_TOKENS = 500_000
+#: Bits by which windows are sieved before they are searched in the table.
+SIEVE_BITS = 20
 #: Capitalised starts of sentences in a window of which every reading is looked up.
 OPENINGS = 4
 UNITS = frozenset("% percent mm cm m km mile miles foot feet inch inches yard yards mg g kg ton tons tonne tonnes gram grams kilogram kilograms ounce ounces pound pounds lb lbs ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents rupee rupees mph kmh kph degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons".split())
 _EDGES = regex.compile(r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$")
 _NUMBER, _UNIT, _NAME = (xxhash.xxh3_64_intdigest(x) for x in ("<number>", "<unit>", "<name>"))
+_FACTORS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 _WORD, _DIGITS, _MEASURE, _CAPITAL, _NOTHING = range(5)
 
 
@@ -96,51 +100,51 @@ def canonical(texts: pa.Array) -> Canonical:
     return Canonical(np.where(name, np.uint64(_NAME), named), named, value, number | unit | name, (kind == _CAPITAL) & starts, offsets)
 
 
-def _windows(c: Canonical, size: int, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(stands: np.ndarray, size: int, at: np.ndarray) -> np.ndarray:
+    """A sum over the tokens of a window, each with the factor of its place, so another reading of a token is one addition."""
+    total = np.full(len(at), np.uint64(size))
+    for k in range(size):
+        total += stands[at + k] * _FACTORS[k]
+    return total
+
+
+def _windows(c: Canonical, size: int, stands: np.ndarray, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Owner, first token and hash of each window of `size` tokens inside a text with enough ordinary words."""
     n = np.diff(c.offsets)
     owner = np.repeat(np.arange(len(n)), n)
     at = np.flatnonzero(c.offsets[1:][owner] - np.arange(len(owner)) >= size)
-    total = np.full(len(at), mix(np.array([size], np.uint64))[0])
-    for k in range(size):
-        total = mix(total ^ stands[at + k])
     words = np.concatenate([[0], np.cumsum(~c.slot)])
-    enough = words[at + size] - words[at] >= min(LITERALS, size)
-    return owner[at[enough]], at[enough], total[enough]
+    enough = words[at + size] - words[at] >= min(literals, size)
+    at = at[enough]
+    return owner[at], at, _hashes(stands, size, at)
 
 
-def _readings(c: Canonical, size: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place in `at` and hash of the windows' further readings, in which capitalised starts of sentences are names, with enough ordinary words."""
+def _readings(c: Canonical, size: int, at: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place in `at` and hash of the further readings of windows with the hashes `base`, in which capitalised starts of sentences are names, with enough ordinary words."""
     before = np.concatenate([[0], np.cumsum(c.opens)])
     words = np.concatenate([[0], np.cumsum(~c.slot)])
     opening = np.flatnonzero(c.opens)
     many, plain = before[at + size] - before[at], words[at + size] - words[at]
     index, hashed = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for k in range(1, int(many.max(initial=0)) + 1):
+        these = np.flatnonzero((many == k) & (plain > min(LITERALS, size)))
+        places = [opening[before[at[these]] + j] for j in range(k)]
+        change = [(np.uint64(_NAME) - c.stands[x]) * _FACTORS[x - at[these]] for x in places]
         for mask in range(1, 1 << k) if k <= OPENINGS else ((1 << k) - 1,):
-            use = np.flatnonzero((many == k) & (plain - mask.bit_count() >= min(LITERALS, size)))
-            if not len(use):
-                continue
-            first = at[use]
-            names = [opening[before[first] + j] - first for j in range(k) if mask >> j & 1]
-            total = np.full(len(use), mix(np.array([size], np.uint64))[0])
-            for j in range(size):
-                name = np.zeros(len(use), bool)
-                for x in names:
-                    name |= x == j
-                total = mix(total ^ np.where(name, np.uint64(_NAME), c.stands[first + j]))
-            index.append(use)
-            hashed.append(total)
+            use = plain[these] - mask.bit_count() >= min(LITERALS, size)
+            index.append(these[use])
+            hashed.append((base[these] + sum(x for j, x in enumerate(change) if mask >> j & 1))[use])
     return np.concatenate(index), np.concatenate(hashed)
 
 
 @dataclass
 class Block:
-    """The windows of some items, by size: hashes ascending, with the item, its place and the tokens themselves."""
+    """The windows of some items, and for items without one those of their plain tokens, by size: hashes ascending, with the item, its place and the tokens themselves."""
 
     ids: np.ndarray
     tokens: Canonical
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     needed: np.ndarray
 
 
@@ -156,23 +160,38 @@ def block_of(items: list[tuple[int, str]]) -> Block:
         needed += np.bincount(owner, minlength=len(items))
         more = named != hashed  # a text without capitals has names as plain words
         owner, at, hashed = np.concatenate([owner, owner[more]]), np.concatenate([at, at[more]]), np.concatenate([hashed, named[more]])
-        index, read = _readings(c, size, at[: int(own.sum())])
+        index, read = _readings(c, size, at[: int(own.sum())], hashed[: int(own.sum())])
         owner, at, hashed = np.concatenate([owner, owner[index]]), np.concatenate([at, at[index]]), np.concatenate([hashed, read])
         order = np.argsort(hashed, kind="stable")
         windows[size] = (hashed[order], owner[order], at[order])
-    return Block(np.array([i for i, _ in items], np.int64), c, windows, np.minimum(needed, LEAST))
+    poor, exact = (needed == 0) & (n >= SHORTEST), {}
+    for size in sorted({int(min(k, WINDOW)) for k in n[poor]}):
+        owner, at, hashed = _windows(c, size, c.value, 0)
+        own = poor[owner] & (np.minimum(n[owner], WINDOW) == size)
+        owner, at, hashed = owner[own], at[own], hashed[own]
+        needed += np.bincount(owner, minlength=len(items))
+        order = np.argsort(hashed, kind="stable")
+        exact[size] = (hashed[order], owner[order], at[order])
+    return Block(np.array([i for i, _ in items], np.int64), c, windows, exact, np.minimum(needed, LEAST))
 
 
 def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
     """(text, item) of the texts that leak an item of the block, ascending, each pair once."""
     c = canonical(texts)
     docs, items, places, shifts, sizes = [], [], [], [], []
-    for size, (hashed, owner, at) in block.windows.items():
+    for size, (hashed, owner, at), plain in [*((k, x, False) for k, x in block.windows.items()), *((k, x, True) for k, x in block.exact.items())]:
         if not len(hashed):
             continue
-        text, place, h = _windows(c, size, c.stands)
-        index, read = _readings(c, size, place)
-        text, place, h = np.concatenate([text, text[index]]), np.concatenate([place, place[index]]), np.concatenate([h, read])
+        if plain:
+            text, place, h = _windows(c, size, c.value, 0)
+        else:
+            text, place, h = _windows(c, size, c.stands)
+            index, read = _readings(c, size, place, h)
+            text, place, h = np.concatenate([text, text[index]]), np.concatenate([place, place[index]]), np.concatenate([h, read])
+        sieve = np.zeros(1 << SIEVE_BITS, bool)
+        sieve[hashed >> np.uint64(64 - SIEVE_BITS)] = True
+        may = sieve[h >> np.uint64(64 - SIEVE_BITS)]
+        text, place, h = text[may], place[may], h[may]
         low, high = np.searchsorted(hashed, h, "left"), np.searchsorted(hashed, h, "right")
         hit = np.flatnonzero(high > low)
         count = (high - low)[hit]

@@ -182,6 +182,14 @@ def test_leaks_after_headings_and_with_other_names_at_sentence_starts(spark, doc
     assert got == {1: [1], 2: [1], 3: [2], 4: [2], 5: []}
 
 
+def test_leaks_of_items_with_few_plain_words(spark, documents):
+    sums, names = "What is 15 + 27 * 3?", "Ann Bob 3 Eva 4 Tom 5 Kim 6 Lea 7"
+    bench = spark.createDataFrame([(1, sums), (2, names)], "item_id long, text string")
+    rows = [(1, "Now: " + sums), (2, sums.lower()), (3, "What is 16 + 27 * 3?"), (4, f"So {names} it is"), (5, names.replace("Eva", "Ina"))]
+    got = {r.doc_id: r["items"] for r in template_leaks.leaked_items(documents(rows), bench).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [2], 5: []}
+
+
 def test_leak_query_against_searching_every_document(spark):
     sf = "/root/testdata/sf0.001"
     plain = lambda t: re.sub(r"\W+", " ", t.lower()).strip()
