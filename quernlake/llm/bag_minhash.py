@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.rows import id_and_text
-from quernlake.llm.words import chunks, spread, steps
+from quernlake.llm.words import ODD, chunks, mix, rolled, spread, steps
 from quernlake.operators.components import connected_components
 from quernlake.shared import write_shared
 
@@ -48,15 +48,6 @@ NULL_ID = -(2**63)
 SLOT_BITS = 20
 #: Tokens before a prefix token that its row carries.
 BEFORE = 4
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit integers without visible structure."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def normal(texts: pa.Array) -> pa.Array:
     """Lower case, letters and digits only, one space between words."""
@@ -67,16 +58,7 @@ def shingles(normalised: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.n
     """(owner, shingle, weight) of the multisets, ascending; each pair of owner and shingle once."""
     distinct, which, offsets = chunks(normalised)
     hashed = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct.to_pylist()), np.uint64, len(distinct))[which] if len(distinct) else np.empty(0, np.uint64)
-    n = np.diff(offsets)
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(which)) - offsets[:-1][owner]
-    left = n[owner] - place
-    total = np.zeros(len(hashed), np.uint64)
-    for k in range(words):
-        there = left > k
-        total[there] += mix(hashed[np.flatnonzero(there) + k] + _ODD[k]) * _ODD[k]
-    whole = (left >= words) | (place == 0)
-    owner, total = owner[whole], mix(total[whole])
+    owner, total = rolled(hashed, offsets, words)
     order = np.lexsort((total, owner))
     owner, total = owner[order], total[order]
     new = np.ones(len(owner), bool)
@@ -99,10 +81,10 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, docum
     of, state, size, share = (np.concatenate(x) for x in zip(*parts, strict=True))
     time = np.zeros(len(of))
     while len(of):
-        state = mix(state + _ODD[0])
+        state = mix(state + ODD[0])
         uniform = ((state >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
         time = time - np.log(uniform) / (size * components)
-        draw = mix(state ^ _ODD[1])
+        draw = mix(state ^ ODD[1])
         component = (draw >> np.uint64(32)) % np.uint64(components)
         taken = (draw & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32 < share
         np.minimum.at(first, of[taken] * components + component[taken].astype(np.int64), time[taken])
@@ -116,7 +98,7 @@ def band_keys(first: np.ndarray, bands: int = BANDS) -> np.ndarray:
     bits = first.view(np.uint64).reshape(len(first), bands, -1)
     keys = mix(np.arange(1, bands + 1, dtype=np.uint64))[None, :] * np.ones((len(first), 1), np.uint64)
     for k in range(bits.shape[2]):
-        keys = mix(keys ^ bits[:, :, k]) + _ODD[2]
+        keys = mix(keys ^ bits[:, :, k]) + ODD[2]
     return keys.view(np.int64)
 
 
@@ -180,7 +162,7 @@ def _tokens(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     owner, shingle, weight = shingles(normal(texts), words)
     at = np.repeat(np.arange(len(owner)), weight)
     occurrence = (np.arange(len(at)) - np.repeat(np.cumsum(weight) - weight, weight)).astype(np.uint64)
-    return owner[at], mix(shingle[at] + occurrence * _ODD[3])
+    return owner[at], mix(shingle[at] + occurrence * ODD[3])
 
 
 def _slot_counts(texts: DataFrame, words: int) -> np.ndarray:

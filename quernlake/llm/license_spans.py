@@ -21,10 +21,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from quernlake.llm.bag_minhash import mix, normal
+from quernlake.llm.bag_minhash import normal
 from quernlake.llm.license_texts import TEMPLATES
 from quernlake.llm.rows import id_and_text
-from quernlake.llm.words import chunks, steps
+from quernlake.llm.words import chunks, mix, steps
 
 GRAM = 3
 WINNOW = 4

@@ -31,9 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quernlake.llm.bag_minhash import mix
 from quernlake.llm.rows import id_and_text, text_of
-from quernlake.llm.words import Remembered, chunks, steps
+from quernlake.llm.words import Remembered, chunks, held, mix, steps
 
 WINDOW = 8
 LEAST = 6

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -24,6 +27,7 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", step_bytes: int
             to = max(at + 1, int(np.searchsorted(ends, base + step_bytes, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def chunks(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -48,10 +52,59 @@ def spread(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: n
     return values[index], ends[offsets]
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers without visible structure."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
+
+
+def rolled(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of every `size` successive words inside a text; of all its words, if it has fewer."""
+    n = np.diff(offsets)
+    owner = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(words)) - offsets[:-1][owner]
+    left = n[owner] - place
+    total = np.zeros(len(words), np.uint64)
+    for k in range(size):
+        part = mix(words[k:] + ODD[k]) * ODD[k]
+        total[: len(part)] += np.where(left[: len(part)] > k, part, np.uint64(0))
+    whole = (left >= size) | (place == 0)
+    return owner[whole], mix(total[whole])
+
+
+def release() -> None:
+    """Gives memory that is no longer in use back to the machine: workers live on between stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """State of an operator that its tasks in one worker share. A worker holds one such state: that of another operator goes first."""
+    found = _held.get(name)
+    if found is None:
+        _held.clear()
+        release()
+        found = _held[name] = make()
+    return found
+
+
+#: Characters of a piece that is remembered, at most.
+LONGEST = 64
+
+
 class Remembered:
-    """What was computed for a piece. Two generations of `limit` pieces each: a full one ages, and the aged one goes, so memory is bounded and what is in use stays."""
+    """What was computed for a piece. Two generations of `limit` pieces of up to LONGEST characters: a full one ages, and the aged one goes, so memory is bounded and what is in use stays."""
 
-    def __init__(self, compute: Callable[[str], object], limit: int = 200_000):
+    def __init__(self, compute: Callable[[str], object], limit: int = 100_000):
         self.compute, self.limit, self.young, self.old = compute, limit, {}, {}
 
     def one(self, piece: str):
@@ -64,6 +117,8 @@ class Remembered:
         return found
 
     def put(self, piece: str, value: object) -> None:
+        if len(piece) > LONGEST:
+            return
         if len(self.young) >= self.limit and piece not in self.young:
             self.old, self.young = self.young, {}
         self.young[piece] = value
