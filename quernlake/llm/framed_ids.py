@@ -1,12 +1,12 @@
 """Token ids as length-delimited binary records, with a separate offset index for shuffled reads.
 
-A file `part-K.rec` holds one record for each document, in ascending doc_id order within and across files:
+A file `part-K-M.rec`, of about FILE_BYTES bytes at most, holds one record for each document, in ascending doc_id order within and across files:
     8 bytes  length of the data, little-endian
     4 bytes  masked CRC-32 of these 8 bytes
     n bytes  the ids, little-endian unsigned, of WIDTH bytes each
     4 bytes  masked CRC-32 of the data
 The mask is that of the well-known record format: rotated right by 15 bits plus a constant, so a checksum of data
-that holds checksums is sound. `part-K.idx` holds 32 bytes for each record: doc_id, place of the record, place of its
+that holds checksums is sound. `part-K-M.idx` holds 32 bytes for each record: doc_id, place of the record, place of its
 first id among the ids of the file, number of ids; doc_id is the smallest 64-bit integer for null.
 
 Ids of a vocabulary of up to 65,536 entries take two bytes, others four.
@@ -21,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,27 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quernlake.llm.library_ids import library_ids
 from quernlake.llm.rows import id_and_text
-from quernlake.llm.shared_files import opened, write_once
-from quernlake.llm.words import Remembered, encode_texts, steps
+from quernlake.llm.shared_files import opened, write_both
+from quernlake.llm.words import steps
 from quernlake.shared import new_path, write_shared
 
 END_ID = 1
 NULL_ID = -(2**63)
+FILE_BYTES = 256 << 20
+#: Bytes of text that are encoded at once: the more, the fewer words are looked up again.
+STEP_BYTES = 8_000_000
 _MASK = 0xA282EAD8
 INDEX = np.dtype([("doc_id", "<i8"), ("at", "<i8"), ("start", "<i8"), ("n", "<i8")])
 
 
+def _masked(crc: int) -> bytes:
+    return struct.pack("<I", ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF)
+
+
 def masked_crc(data: bytes) -> int:
-    crc = zlib.crc32(data)
-    return ((crc >> 15 | crc << 17) + _MASK) & 0xFFFFFFFF
+    return struct.unpack("<I", _masked(zlib.crc32(data)))[0]
 
 
 def frame(data: bytes) -> bytes:
@@ -67,51 +75,21 @@ def read_frame(file, at: int | None = None) -> bytes | None:
     return data[:size]
 
 
-_libraries: dict[str, object] = {}
-
-
-def library(path: str) -> tuple[object, Remembered]:
-    """The tokenizers library's own tokenizer and what it gave for pieces between white space.
-
-    Words never span white space and the special tokens of the file take none with them, so a text's ids are those of
-    its pieces in a row; each distinct piece is encoded once.
-    """
-    if path not in _libraries:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        kept = Remembered(lambda x: None)
-
-        def encode(pieces: list[str]) -> list[bytes]:
-            young, old = kept.young, kept.old  # both stay whole until all pieces are looked up
-            found = {x: young[x] if x in young else old.get(x) for x in pieces}
-            new = [x for x, ids in found.items() if ids is None]
-            found.update(zip(new, (np.array(e.ids, np.uint32).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            for x, ids in found.items():
-                kept.put(x, ids)
-            return [found[x] for x in pieces]
-
-        _libraries[path] = (tokenizer, encode)
-    return _libraries[path]
-
-
-def encode_with_library(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of whole texts as the library encodes them with add_special_tokens=False, and each text's first place."""
-    _, encode = library(path)
-    if not pc.any(pc.match_substring(texts, "<|")).as_py():
-        texts = pc.ascii_lower(texts)  # the vocabulary is of lower case; no special token can be touched
-    return encode_texts(texts, encode)
+def framed(ids: np.ndarray, offsets: np.ndarray, end: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The records of some sequences, each followed by the end id, as parts in a row; and the bytes of each record."""
+    raw, step, parts = memoryview(ids.tobytes()), ids.itemsize, []
+    bounds = (offsets * step).tolist()
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        length = struct.pack("<Q", b - a + len(end))
+        crc = zlib.crc32(end, zlib.crc32(raw[a:b]))
+        parts += (length, _masked(zlib.crc32(length)), raw[a:b], end, _masked(crc))
+    return parts, np.diff(offsets) * step + len(end) + 16
 
 
-def write_records(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2, end_id: int = END_ID) -> DataFrame:
-    """Writes the files of a table and returns one row for each: part, file, documents, ids, base (ids of all files before it).
+def write_records(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", width: int = 2, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the files of a table and returns one row for each: part, number, file, documents, ids, base (ids of all files before it).
 
-    Sorted by ranges of doc_id, so a file holds a range; the ids are made after the shuffle, which moves the texts once.
+    Sorted by ranges of doc_id, so a file holds a range, and the files of a range follow each other by number; the ids are made after the shuffle, which moves the texts once.
     """
     spark = docs.sparkSession
     folder = folder or new_path(spark, "records")
@@ -120,50 +98,46 @@ def write_records(docs: DataFrame, path: str, folder: str | None = None, id_col:
     kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next(batches, None)
-        while first is not None and not first.num_rows:
-            first = next(batches, None)
-        if first is None:
-            return
         part = TaskContext.get().partitionId()
-        name = f"{folder}/part-{part:06d}"
-        index: list[np.ndarray] = []
-
-        def every():
-            yield first
-            yield from batches
-
-        def records(out) -> tuple[int, int]:
-            at = start = count = 0
-            for batch in steps(every()):
-                ids, offsets = encode_with_library(batch.column("text"), path)
-                if len(ids) and int(ids.max()) >= 1 << 8 * width:
-                    raise ValueError(f"an id takes more than {width} bytes")
-                narrow, doc_ids = ids.astype(kind), pc.fill_null(batch.column("doc_id"), NULL_ID).to_numpy(zero_copy_only=False)
-                end = np.array([end_id], kind).tobytes()
-                entries = np.zeros(batch.num_rows, INDEX)
-                for k in range(batch.num_rows):
-                    record = frame(narrow[offsets[k] : offsets[k + 1]].tobytes() + end)
-                    n = int(offsets[k + 1] - offsets[k]) + 1
-                    entries[k] = (doc_ids[k], at, start, n)
-                    out.write(record)
-                    at, start, count = at + len(record), start + n, count + 1
-                index.append(entries)
-            return count, start
-
-        count, ids = write_once(f"{name}.rec", records)
-        write_once(f"{name}.idx", lambda out: [out.write(x.tobytes()) for x in index])
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": [name], "documents": pa.array([count], pa.int64()), "ids": pa.array([ids], pa.int64())})
-
-    manifest = write_shared(rows.mapInArrow(run, "part int, file string, documents long, ids long"), "record-manifest")
+        encoder, end = library_ids(path), np.array([end_id], kind).tobytes()
+        left = steps(batches, step_bytes=STEP_BYTES)
+        for number in range(1 << 30):
+            first = next(left, None)
+            if first is None:
+                return
+
+            def both(out, index, first=first) -> tuple[int, int]:
+                at = start = count = 0
+                for batch in chain([first], left):
+                    ids, offsets = encoder.encode(batch.column("text"))
+                    if len(ids) and int(ids.max()) >= 1 << 8 * width:
+                        raise ValueError(f"an id takes more than {width} bytes")
+                    parts, sizes = framed(ids.astype(kind), offsets, end)
+                    out.write(b"".join(parts))
+                    entries = np.empty(batch.num_rows, INDEX)
+                    entries["doc_id"] = pc.fill_null(batch.column("doc_id"), NULL_ID).to_numpy(zero_copy_only=False)
+                    entries["n"] = np.diff(offsets) + 1
+                    entries["at"] = at + np.cumsum(sizes) - sizes
+                    entries["start"] = start + offsets[:-1] + np.arange(batch.num_rows)
+                    index.write(entries.tobytes())
+                    at, start, count = at + int(sizes.sum()), start + len(ids) + batch.num_rows, count + batch.num_rows
+                    if at >= file_bytes:
+                        break
+                return count, start
+
+            name = f"{folder}/part-{part:06d}-{number:04d}"
+            count, ids = write_both(f"{name}.rec", f"{name}.idx", both)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "file": [name], "documents": pa.array([count], pa.int64()), "ids": pa.array([ids], pa.int64())})
+
+    manifest = write_shared(rows.mapInArrow(run, "part int, number int, file string, documents long, ids long"), "record-manifest")
     found = sorted(manifest.frame.collect())
     manifest.drop()
     base, known = 0, []
-    for part, file, documents, ids in found:
-        known.append((part, file, documents, ids, base))
+    for part, number, file, documents, ids in found:
+        known.append((part, number, file, documents, ids, base))
         base += ids
     listed = spark.sparkContext.parallelize(known, max(1, len(known)))
-    return spark.createDataFrame(listed, "part int, file string, documents long, ids long, base long")
+    return spark.createDataFrame(listed, "part int, number int, file string, documents long, ids long, base long")
 
 
 def read_records(manifest: DataFrame, summary=None, schema: str = "doc_id long, start long, n_tokens long, ids array<int>", width: int = 2) -> DataFrame:
@@ -178,12 +152,9 @@ def read_records(manifest: DataFrame, summary=None, schema: str = "doc_id long,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file, base in ((f, b) for batch in batches for f, b in zip(batch.column("file").to_pylist(), batch.column("base").to_pylist(), strict=True)):
             store, at = opened(f"{file}.idx")
-            with store.open_input_stream(at) as stream:
-                index = np.frombuffer(stream.read(), INDEX)
-            store, at = opened(f"{file}.rec")
-            with store.open_input_file(at) as records:
-                for k in range(0, len(index), 1000):
-                    some, made = index[k : k + 1000], []
+            with store.open_input_stream(at) as index, store.open_input_file(opened(f"{file}.rec")[1]) as records:
+                while block := index.read(1000 * INDEX.itemsize):
+                    some, made = np.frombuffer(block, INDEX), []
                     for entry in some:
                         ids = np.frombuffer(read_frame(records, int(entry["at"])), kind)
                         if len(ids) != entry["n"]:
