@@ -13,8 +13,8 @@ Copies and near copies count as one document and are left to document dedup. Nea
 smallest text of the band or through it; they are linked into components.
 
 The choice at each place depends on counts only, so neither the order of the lines nor of the tasks matters, and no
-leaf is ever collected: every step is a pre-aggregated grouping or an equi-join, whose hot keys are salted or split at run
-time. Leaves, lines and texts are told apart by 128-bit hashes. Texts are read three times and shuffled once, at the end.
+leaf of more than LARGE_LEAF lines is ever in one task: every other step is a pre-aggregated grouping or an equi-join, whose hot
+keys are split at run time. Leaves, lines and texts are told apart by 128-bit hashes. Texts are read three times and shuffled once, at the end.
 
 Cases: null counts as empty. Blank lines and lines under MIN_TOKENS tokens stay. Rows with the same id and text share
 one decision. An empty table gives no rows. Lines end with "\\n"; other white space only separates tokens. A text of any length
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quernlake.llm.rows import id_and_text, salted_join, text_of
+from quernlake.llm.rows import id_and_text, text_of
 from quernlake.llm.words import chunks, mix, rolled, steps
 from quernlake.operators.components import connected_components
 from quernlake.shared import write_shared
@@ -47,6 +47,8 @@ MIN_CONTEXTS = 3
 LONG_TOKENS, LONG_CONTEXTS = 50, 2
 #: Bits by which lines are sieved before they are carried on: a bitmap of this fixed size is all that goes to the driver.
 SIEVE_BITS = 25
+#: Different lines of a leaf up to which one task finds its template; larger leaves are counted place by place over all tasks.
+LARGE_LEAF = 1_000
 WORDS = 5
 BINS, BANDS, ROWS_PER_BAND = 128, 16, 4
 ALIKE = 0.7
@@ -181,25 +183,77 @@ def _candidate_lines(docs: DataFrame, sieve, leading: int, min_tokens: int) -> D
     return docs.mapInArrow(run, _LINES)
 
 
+def _agreeing(masked: pa.Array, n: np.ndarray, group: np.ndarray, similar: float) -> np.ndarray:
+    """Which of the lines agree with the template of their group, the most common token at each place (the largest of equally common ones); all lines of a group have as many tokens."""
+    coded = pc.split_pattern(masked, " ").flatten().dictionary_encode()
+    tokens = coded.dictionary.to_pylist()
+    rank = np.empty(len(tokens), np.int64)
+    rank[sorted(range(len(tokens)), key=tokens.__getitem__)] = np.arange(len(tokens))
+    token = rank[coded.indices.to_numpy(zero_copy_only=False)]
+    ends = np.cumsum(n)
+    width = np.zeros(int(group[-1]) + 1, np.int64)
+    width[group] = n
+    place = np.repeat((np.cumsum(width) - width)[group] - (ends - n), n) + np.arange(len(token))
+    kinds, at, count = np.unique(place * len(tokens) + token, return_inverse=True, return_counts=True)
+    place_of = kinds // len(tokens)
+    order = np.lexsort((kinds, count, place_of))
+    usual = kinds[order[np.append(np.flatnonzero(np.diff(place_of[order])), len(order) - 1)]]
+    agree = np.concatenate([[0], np.cumsum(usual[place] == kinds[at])])
+    return agree[ends] - agree[ends - n] >= n * similar
+
+
+def _agreeing_in_small_leaves(distinct: DataFrame, similar: float) -> DataFrame:
+    """(leaf, line) as _templates, of leaves whose lines one task can hold."""
+
+    def of(lines: pa.Table) -> pa.RecordBatch:
+        leaf = lines.column("leaf").combine_chunks().dictionary_encode()
+        group = leaf.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        some = np.bincount(group)[group] > 1
+        lines = lines.filter(pa.array(some)).combine_chunks()
+        if not lines.num_rows:
+            return pa.RecordBatch.from_pydict({"leaf": pa.array([], pa.binary()), "line": pa.array([], pa.binary())})
+        _, group = np.unique(group[some], return_inverse=True)
+        general = _agreeing(lines.column("masked").combine_chunks(), lines.column("n").to_numpy().astype(np.int64), group, similar)
+        return lines.select(["leaf", "line"]).filter(pa.array(general)).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if general.any() else pa.RecordBatch.from_pydict({"leaf": pa.array([], pa.binary()), "line": pa.array([], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+        for batch in steps(batches, "masked"):
+            last = batch.column("leaf")[batch.num_rows - 1]
+            begins = pc.index(batch.column("leaf"), last).as_py()  # sorted by leaf: what is before the last leaf is whole
+            if begins == 0 and (not left or left[-1].column("leaf")[left[-1].num_rows - 1] == last):
+                left.append(batch)
+                continue
+            yield of(pa.Table.from_batches([*left, batch.slice(0, begins)]))
+            left = [batch.slice(begins)]
+        if left:
+            yield of(pa.Table.from_batches(left))
+
+    return distinct.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(run, "leaf binary, line binary")
+
+
 def _templates(lines: DataFrame, similar: float) -> DataFrame:
     """(leaf, line) of the masked lines that agree with their leaf's template, in leaves with different masked lines."""
-    part = F.xxhash64("line")
-    mixed = lines.groupBy("leaf").agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a != b").select("leaf")
-    distinct = salted_join(lines.select("leaf", "line", "n", "masked"), mixed, ["leaf"], "line", "left_semi").groupBy("leaf", "line").agg(F.first("masked").alias("masked"), F.first("n").alias("n"))
-    places = distinct.select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token")).select("leaf", "line", "n", "place", F.xxhash64("token").alias("token"))
+    distinct = write_shared(lines.groupBy("leaf", "line").agg(F.first("n").alias("n"), F.first("masked").alias("masked")), "distinct-lines").frame
+    large = write_shared(distinct.groupBy("leaf").count().where(F.col("count") > LARGE_LEAF).select("leaf"), "large-leaves").frame
+    small = _agreeing_in_small_leaves(distinct.join(large, "leaf", "left_anti"), similar)
+    if large.isEmpty():
+        return small
+    places = distinct.join(large, "leaf", "left_semi").select("leaf", "line", "n", F.posexplode(F.split("masked", " ")).alias("place", "token"))
     places = write_shared(places, "line-places").frame
     usual = places.groupBy("leaf", "place", "token").count().groupBy("leaf", "place").agg(F.max(F.struct("count", "token"))["token"].alias("usual"))
     agree = F.sum((F.col("token") == F.col("usual")).cast("int"))
-    return salted_join(places, usual, ["leaf", "place"], "line").groupBy("leaf", "line").agg(agree.alias("agree"), F.first("n").alias("n")).where(F.col("agree") >= F.col("n") * similar).select("leaf", "line")
+    found = places.join(usual, ["leaf", "place"]).groupBy("leaf", "line").agg(agree.alias("agree"), F.first("n").alias("n")).where(F.col("agree") >= F.col("n") * similar)
+    return small.unionByName(found.select("leaf", "line"))
 
 
 def _near_copies(texts: DataFrame) -> DataFrame:
     """(key, class) of texts (key, id, sketch, bands): near copies have one class."""
     bands = texts.select("id", F.explode("bands").alias("bucket"))
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader != last").select("bucket", "leader")
-    pairs = salted_join(bands, buckets, ["bucket"], "id").where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    of = texts.groupBy("id").agg(F.first("sketch").alias("sketch"))
-    met = salted_join(salted_join(pairs, of.select(F.col("id").alias("b"), F.col("sketch").alias("other")), ["b"], "a"), of.select(F.col("id").alias("a"), "sketch"), ["a"], "b")
+    pairs = bands.join(buckets, "bucket").where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    of = texts.dropDuplicates(["id"])
+    met = pairs.join(of.select(F.col("id").alias("b"), F.col("sketch").alias("other")), "b").join(of.select(F.col("id").alias("a"), "sketch"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,28 +272,27 @@ def dropped_lines(docs: DataFrame, min_contexts: int = MIN_CONTEXTS, leading: in
     rows = write_shared(_candidate_lines(docs, sieve, leading, min_tokens), "candidate-lines").frame
     lines = rows.select("doc_id", "key", F.inline("lines"))
     general = write_shared(_templates(lines, similar), "general-lines").frame.withColumn("general", F.lit(True))
-    named = salted_join(lines.drop("masked"), general, ["leaf", "line"], "key", "left")
+    named = lines.drop("masked").join(general, ["leaf", "line"], "left")
     named = named.select("doc_id", "key", "pos", "seq", "n", F.when(F.col("general"), F.col("leaf")).otherwise(F.col("line")).alias("template"))
     named = write_shared(named, "line-templates").frame
 
     part = F.xxhash64("key")
     shared = named.groupBy("template").agg(F.min(part).alias("a"), F.max(part).alias("b")).where("a != b").select("template")
-    lines = salted_join(named, shared, ["template"], "key", "left_semi")
+    lines = named.join(shared, "template", "left_semi")
     text = Window.partitionBy("doc_id", "key")
     lines = lines.dropDuplicates(["doc_id", "key", "pos"]).withColumn("run", F.col("seq") - F.row_number().over(text.orderBy("seq")))
     lines = lines.withColumn("long", F.sum("n").over(text.partitionBy("doc_id", "key", "run")) > LONG_TOKENS).drop("run", "seq", "n")
     lines = write_shared(lines, "shared-lines").frame
 
-    texts = rows.join(lines.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+    texts = rows.select("key", "sketch", "bands").dropDuplicates(["key"]).join(lines.select("key").distinct(), "key", "left_semi")
     texts = write_shared(texts.withColumn("id", F.xxhash64("key")), "template-texts").frame
     classes = write_shared(_near_copies(texts), "text-classes").frame
     here = F.struct("doc_id", "key", "pos")
     apart = lines.groupBy("template", "key").agg(F.min(here).alias("first"), F.max("long").alias("long")).join(classes, "key")
     apart = apart.groupBy("template", "class").agg(F.min("first").alias("first"), F.max(F.col("long").cast("int")).alias("long"))
-    most = apart.withColumn("salt", F.pmod("class", F.lit(32))).groupBy("template", "salt").agg(F.count(F.lit(1)).alias("n"), F.sum("long").alias("long"), F.min("first").alias("first"))
-    most = most.groupBy("template").agg(F.sum("n").alias("n"), F.sum("long").alias("n_long"), F.min("first").alias("first"))
+    most = apart.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.sum("long").alias("n_long"), F.min("first").alias("first"))
     recurring = most.where((F.col("n") >= min_contexts) | (F.col("n_long") >= min(LONG_CONTEXTS, min_contexts))).select("template", "n", "first")
-    again = salted_join(lines, recurring, ["template"], "key").where((here != F.col("first")) & ((F.col("n") >= min_contexts) | F.col("long")))
+    again = lines.join(recurring, "template").where((here != F.col("first")) & ((F.col("n") >= min_contexts) | F.col("long")))
     return again.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("places"))
 
 

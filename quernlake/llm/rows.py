@@ -15,13 +15,3 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """Only the two columns that an operator needs, under fixed names, so other columns can't clash with its own."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
-
-#: Parts that a hot key's rows are dealt to.
-SALTS = 32
-
-
-def salted_join(rows: DataFrame, keyed: DataFrame, on: list[str], spread_by: str, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Joins rows with a table of one row a key: each key's rows are dealt to `salts` tasks by another column, and the keyed row is repeated for each."""
-    salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
-    repeated = keyed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
