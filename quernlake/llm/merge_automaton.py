@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import re
-import threading
 from array import array
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
@@ -30,7 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 
 from quernlake.llm.rows import id_and_text
-from quernlake.llm.words import Remembered, encode_texts, steps
+from quernlake.llm.library_ids import PATTERN, keeps_white_space_apart
+from quernlake.llm.words import Remembered, encode_texts, held, steps
 
 
 def byte_symbols() -> list[str]:
@@ -43,7 +43,7 @@ def byte_symbols() -> list[str]:
 class MergeAutomaton:
     """The compiled merges of a vocabulary: `step` is a transition, `encode` the path of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", memo: int = 250_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", memo: int = 100_000):
         made = {a + b: k for k, (a, b) in enumerate(merges, 1)}
         if len(made) < len(merges) or any(x not in vocab or made.get(x, 0) >= k for k, pair in enumerate(merges, 1) for x in pair):
             raise ValueError("each merge must make a token of its own, of symbols or of tokens that earlier merges make")
@@ -181,7 +181,7 @@ LONG_WORD = 48
 #: Symbols by which the tokens that may come next are looked up at once.
 HEAD = 4
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ÿĀ-ž]*")
-_SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPLIT = regex.compile(PATTERN)
 
 
 class WordBpe:
@@ -195,6 +195,8 @@ class WordBpe:
             spec = json.load(file)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
+        #: Whether words can be cut here; if not, the library's own normaliser and pre-splitter see each text whole.
+        self.known = keeps_white_space_apart(spec)
         self.automaton = MergeAutomaton(model["vocab"], [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]], self.end)
         self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
@@ -209,21 +211,24 @@ class WordBpe:
 
     def split(self, piece: str) -> list[str]:
         """Words of a piece without white space, as byte symbols."""
-        if _PLAIN.fullmatch(piece):  # composed letters only: nothing to normalise but case
+        if self.known and _PLAIN.fullmatch(piece):  # composed letters only: nothing to normalise but case
             symbols = self.symbols
             return ["".join([symbols[b] for b in w.encode()]) if not w.isascii() else w for w in _SPLIT.findall(piece.lower())]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
 
     def piece(self, piece: str) -> list[int]:
         """Ids of a piece between white space."""
-        if self.specials and "<|" in piece and self.specials.search(piece):
+        if self.specials and self.specials.search(piece):
             return [i for part in self.specials.split(piece) if part for i in ([self.added[part]] if part in self.added else self.piece(part))]
         words = self.split(piece)
         return self.words.one(words[0]) if len(words) == 1 else [i for w in words for i in self.words.one(w)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text begins."""
-        if not pc.any(pc.match_substring(texts, "<|")).as_py():  # no special token: case can go at once
+        if not self.known:
+            runs = [self.piece(x) for x in texts.to_pylist()]
+            return np.fromiter((i for x in runs for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
+        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):  # case can go at once
             texts = pc.ascii_lower(texts)
         return encode_texts(texts, self.pieces.all)
 
@@ -232,16 +237,9 @@ class WordBpe:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), self.arrow_labels.take(pa.array(ids))), " ")
 
 
-_loaded: dict[str, WordBpe] = {}
-_lock = threading.Lock()
-
-
 def word_bpe(path: str) -> WordBpe:
-    """The compiled vocabulary, once for each Python worker."""
-    with _lock:
-        if path not in _loaded:
-            _loaded[path] = WordBpe(path)
-        return _loaded[path]
+    """The compiled vocabulary, once for each Python worker that is busy with it."""
+    return held(f"automaton:{path}", lambda: WordBpe(path))
 
 
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:

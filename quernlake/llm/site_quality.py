@@ -2,16 +2,20 @@
 
 A linear classifier over the presence of words, word beginnings, punctuation and shape gives each document its
 evidence: the logarithm of how much more likely its features are under one label than under the other. The prior it
-is added to is the rate of its site. The rate of a path shrinks towards that of its host and this towards the global
-one: rate = (sum of evidence-based probabilities + strength * rate above) / (documents + strength). The strengths come
-from the data, by the method of moments over the hosts (and paths); a site with few documents has its parent's rate.
+is added to is the rate of its site among the site's other documents, so no document counts twice. The rate of a path shrinks
+towards that of its host and this towards the global one:
+    rate = (sum of the others' probabilities by their evidence + strength * rate above) / (number of others + strength).
+The strengths come from the data, by the method of moments: how far hosts differ from the global rate, and paths from
+their hosts' rates, beyond what chance makes; a document alone on its site has the rate above as its prior.
 
-Fitting uses a bounded sample of labelled rows (FIT_ROWS, those with the smallest hashes of their ids). Rates are
-grouped sums over all documents, pre-aggregated before the shuffle; the table of sites is joined back by broadcast
-only if it has at most BROADCAST_SITES rows.
+Fitting uses a bounded sample of labelled rows (FIT_ROWS, those with the smallest hashes of their ids). The most telling
+features are chosen by grouped counts, so the driver gets only their counts and a bit for each of them and each row of
+the sample. Rates are grouped sums over all documents, pre-aggregated before the shuffle; the table of sites is joined
+back by broadcast only if it has at most BROADCAST_SITES rows.
 
 Cases: null text counts as empty, null host or path as the empty string. Without both values of a label among the
-sample, its evidence is 0 and only the prior is left. Rows are neither merged nor dropped.
+sample, its evidence is 0 and only the prior is left. Rows are neither merged nor dropped; of labelled rows with one id, one
+is in the sample. Texts of any length are read whole, also pieces of any length without white space.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.rows import text_of
-from quernlake.llm.words import Remembered, chunks, steps
+from quernlake.llm.words import Remembered, chunks, held, steps
 from quernlake.shared import write_shared
 
 FIT_ROWS = 12_000
@@ -38,6 +42,8 @@ TOXIC_FROM = 0.25
 #: A feature counts from so many sample rows and so large a chi-square on.
 LEAST_SEEN, LEAST_TELLING = 4, 12
 BROADCAST_SITES = 20_000
+#: A piece of more characters has no words; each run of so many characters of it is a feature.
+LONG_PIECE, RUN = 64, 8
 _BITS = 20
 _SHAPES = 8
 _PIECE = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
@@ -48,7 +54,9 @@ def _hash(feature: str) -> int:
 
 
 def _piece_features(piece: str) -> tuple[int, ...]:
-    before, word, after = _PIECE.match(piece[:200]).groups()
+    if len(piece) > LONG_PIECE:
+        return tuple({_hash("r:" + piece[k : k + RUN].lower()) for k in range(0, len(piece), RUN)})
+    before, word, after = _PIECE.match(piece).groups()
     if not word:
         return (_hash("o:" + piece[:6]),)
     low = word.lower()
@@ -76,14 +84,11 @@ def _shape(texts: pa.Array, which: np.ndarray, offsets: np.ndarray, lengths: np.
     return (1 << _BITS) + np.stack(buckets)
 
 
-_pieces = Remembered(_piece_features)
-
-
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(row, feature) of a slice, each pair once."""
     texts = batch.column("text")
     distinct, which, offsets = chunks(texts)
-    found = _pieces.all(distinct.to_pylist())
+    found = held("quality", lambda: Remembered(_piece_features)).all(distinct.to_pylist())
     sizes = np.fromiter(map(len, found), np.int64, len(found))
     flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
     width = (1 << _BITS) + 16 * _SHAPES
@@ -98,26 +103,10 @@ def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return keys // width, keys % width
 
 
-def fit_linear(rows: list[np.ndarray], label: np.ndarray, features: int = FEATURES) -> tuple[dict[int, float], float]:
-    """Weights of the most telling features, and the constant, of a logistic classifier; the prior is taken out of the constant."""
-    n, good = len(rows), int(label.sum())
-    if good in (0, n):
-        return {}, 0.0
-    kinds, at = np.unique(np.concatenate(rows), return_inverse=True)
-    owner = np.repeat(np.arange(n), [len(x) for x in rows])
-    seen = np.bincount(at, minlength=len(kinds))
-    with_label = np.bincount(at, weights=label[owner], minlength=len(kinds))
-    expected = seen * good / n
-    telling = (with_label - expected) ** 2 / np.maximum(expected * (1 - good / n) * (1 - seen / (n + 1)), 1e-9)
-    telling[seen < LEAST_SEEN] = 0
-    chosen = np.argsort(-telling, kind="stable")[:features]
-    chosen = chosen[telling[chosen] > LEAST_TELLING]
-    place = np.full(len(kinds), -1)
-    place[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen) + 1), np.float32)
-    x[:, -1] = 1
-    used = place[at] >= 0
-    x[owner[used], place[at[used]]] = 1
+def fit_linear(present: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the features (columns of 0 and 1), and the constant, of a logistic classifier; the prior is taken out of the constant."""
+    n, good = len(label), int(label.sum())
+    x = np.hstack([present, np.ones((n, 1))]).astype(np.float32)
     w = np.zeros(x.shape[1])
     penalty = np.full(len(w), RIDGE)
     penalty[-1] = 1e-3
@@ -127,41 +116,75 @@ def fit_linear(rows: list[np.ndarray], label: np.ndarray, features: int = FEATUR
         w += step
         if np.abs(step).max() < 1e-6:
             break
-    return {int(kinds[c]): float(w[k]) for k, c in enumerate(chosen)}, float(w[-1] - np.log(good / (n - good)))
+    return w[:-1], float(w[-1] - np.log(good / (n - good)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], fit_rows: int = FIT_ROWS) -> dict[str, tuple[dict[int, float], float]]:
-    """A classifier for each label, from at most fit_rows labelled documents."""
-    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(t).cast("int").alias(t) for t in targets]).dropna().dropDuplicates(["doc_id"])
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # a bounded table, whatever the input
+def telling(counts: DataFrame, target: str, n: int, good: int, features: int = FEATURES) -> list[int]:
+    """The features (feature, n, and how often with each target) whose presence tells most of the target by chi-square; at most `features`."""
+    seen, share = F.col("n"), good / n
+    expected = seen * share
+    chi = (F.col(target) - expected) ** 2 / F.greatest(expected * (1 - share) * (1 - seen / (n + 1)), F.lit(1e-9))
+    found = counts.where(seen >= LEAST_SEEN).select("feature", chi.alias("chi")).where(F.col("chi") > LEAST_TELLING)
+    return sorted(r["feature"] for r in found.orderBy(F.desc("chi"), "feature").limit(features).collect())
+
+
+def sample_features(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The targets and the features of at most fit_rows labelled documents."""
+    some = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(t).cast("int").alias(t) for t in targets]).dropna()
+    some = some.groupBy("doc_id").agg(*[F.max(t).alias(t) for t in targets]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # a bounded table, whatever the input
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", *targets).agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
-            rows, features = _features(batch)
-            offsets = np.searchsorted(rows, np.arange(batch.num_rows + 1)).astype(np.int32)
+            at, features = _features(batch)
+            offsets = np.searchsorted(at, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*(batch.column(t) for t in targets), pa.ListArray.from_arrays(pa.array(offsets), pa.array(features.astype(np.int32)))], [*targets, "features"])
 
-    got = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", *targets).mapInArrow(run, ", ".join(f"{t} int" for t in targets) + ", features array<int>").toArrow()
-    lists = got.column("features").combine_chunks() if got.num_rows else pa.array([], pa.list_(pa.int32()))
-    values, offsets = lists.values.to_numpy(zero_copy_only=False) if got.num_rows else np.empty(0), lists.offsets.to_numpy() if got.num_rows else np.zeros(1, int)
-    rows = [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-    return {t: fit_linear(rows, got.column(t).to_numpy().astype(float)) for t in targets}
+    return write_shared(rows.select("text", *targets).mapInArrow(run, ", ".join(f"{t} int" for t in targets) + ", features array<int>"), "quality-sample").frame
 
 
-def _rate(total: Column, n: Column, above: Column, strength: Column) -> Column:
-    return (total + strength * above) / (n + strength)
-
-
-def _strength(groups: DataFrame, p: str, n: str) -> tuple[float, float]:
-    """The global rate and how many documents the prior counts for, from the spread of the groups' rates."""
-    sums = groups.agg(F.sum(p), F.sum(n), F.count(F.lit(1)), F.sum(F.col(p) * F.col(p) / F.col(n))).first()
-    total, docs, count, squares = (float(x or 0) for x in sums)
+def fit(docs: DataFrame, labels: DataFrame, targets: tuple[str, ...], fit_rows: int = FIT_ROWS) -> dict[str, tuple[dict[int, float], float]]:
+    """A classifier for each label, from at most fit_rows labelled documents."""
+    rows = sample_features(docs, labels, targets, fit_rows)
+    n, *good = (int(x or 0) for x in rows.agg(F.count(F.lit(1)), *[F.sum(t) for t in targets]).first())
+    counts = rows.select(F.explode("features").alias("feature"), *targets).groupBy("feature").agg(F.count(F.lit(1)).alias("n"), *[F.sum(t).alias(t) for t in targets])
+    counts = write_shared(counts.where(F.col("n") >= LEAST_SEEN), "quality-features").frame
+    chosen = {t: telling(counts, t, n, g) if 0 < g < n else [] for t, g in zip(targets, good, strict=True)}
+    kinds = np.array(sorted({f for x in chosen.values() for f in x}), np.int64)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("features")
+            at, flat = lists.value_parent_indices().to_numpy(), lists.flatten().to_numpy().astype(np.int64)
+            place = np.minimum(np.searchsorted(kinds, flat), max(0, len(kinds) - 1))
+            used = kinds[place] == flat if len(kinds) else np.zeros(len(flat), bool)
+            bits = np.zeros((batch.num_rows, len(kinds)), bool)
+            bits[at[used], place[used]] = True
+            yield pa.RecordBatch.from_arrays([*(batch.column(t) for t in targets), pa.array([x.tobytes() for x in np.packbits(bits, axis=1)], pa.binary())], [*targets, "bits"])
+
+    got = rows.mapInArrow(pack, ", ".join(f"{t} int" for t in targets) + ", bits binary").toArrow()
+    width = (len(kinds) + 7) // 8
+    packed = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(got.num_rows, width) if width else np.zeros((got.num_rows, 0), np.uint8)
+    models = {}
+    for t, g in zip(targets, good, strict=True):
+        if 0 < g < n:
+            own = np.searchsorted(kinds, chosen[t])
+            weights, constant = fit_linear(np.unpackbits(packed, axis=1)[:, own], got.column(t).to_numpy().astype(float))
+            models[t] = dict(zip(chosen[t], weights.tolist(), strict=True)), constant
+        else:
+            models[t] = {}, 0.0
+    return models
+
+
+def _strength(groups: DataFrame, p: str, n: str, above: str) -> float:
+    """How many documents the rate above counts for, from how far the groups' rates are from it beyond chance."""
+    rate = F.col(p) / F.col(n)
+    sums = groups.agg(F.sum(n), F.sum(F.col(n) * (rate - F.col(above)) ** 2), F.sum(F.col(above) * (1 - F.col(above))), F.sum(F.col(n) * F.col(above) * (1 - F.col(above)))).first()
+    docs, apart, chance, within = (float(x or 0) for x in sums)
     if not docs:
-        return 0.5, 1.0
-    rate = min(max(total / docs, 1e-4), 1 - 1e-4)
-    within = rate * (1 - rate)
-    between = max((squares - docs * rate * rate) / docs - count * within / docs, 1e-6)
-    return rate, min(max(within / between - 1, 1.0), 1e6)
+        return 1.0
+    between = max((apart - chance) / docs, 1e-6)
+    return min(max(within / docs / between - 1, 1.0), 1e6)
 
 
 def _logit(p: Column) -> Column:
@@ -191,15 +214,19 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     made = evidence.select("*", *[(1 / (1 + F.exp(-F.col(t)))).alias(f"p_{t}") for t in targets])
     paths = write_shared(made.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in targets]), "sites").frame
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in targets])
-    sites = paths.join(hosts, "host")
-    for t in targets:
-        rate, strength = _strength(hosts, f"h_{t}", "host_n")
-        _, own = _strength(paths, f"s_{t}", "n")
-        host = _rate(F.col(f"h_{t}"), F.col("host_n"), F.lit(rate), F.lit(strength))
-        sites = sites.withColumn(f"host_{t}", host).withColumn(f"path_{t}", _rate(F.col(f"s_{t}"), F.col("n"), F.col(f"host_{t}"), F.lit(own)))
-    sites = write_shared(sites.select("host", "path", *[f"{level}_{t}" for t in targets for level in ("host", "path")]), "site-rates").frame
+    total = hosts.agg(F.sum("host_n"), *[F.sum(f"h_{t}") for t in targets]).first()
+    sites, rates, strengths = paths.join(hosts, "host"), {}, {}
+    for k, t in enumerate(targets, 1):
+        rates[t] = min(max(total[k] / total[0], 1e-4), 1 - 1e-4) if total[0] else 0.5
+        strengths[t] = (_strength(hosts.withColumn("above", F.lit(rates[t])), f"h_{t}", "host_n", "above"), _strength(sites.withColumn("above", F.col(f"h_{t}") / F.col("host_n")), f"s_{t}", "n", "above"))
+    sites = write_shared(sites, "site-sums").frame
     sites = F.broadcast(sites) if sites.count() <= BROADCAST_SITES else sites
+    scored = made.join(sites, ["host", "path"])
+    others = lambda total, t, n, above, strength: (F.greatest(F.col(total) - F.col(f"p_{t}"), F.lit(0.0)) + strength * above) / (F.col(n) - 1 + strength)
+    for t in targets:
+        scored = scored.withColumn(f"host_{t}", others(f"h_{t}", t, "host_n", F.lit(rates[t]), strengths[t][0]))
+        scored = scored.withColumn(f"path_{t}", others(f"s_{t}", t, "n", F.col(f"host_{t}"), strengths[t][1]))
     odds = lambda t: F.col(t) + _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(f"path_{t}"))))
-    scored = evidence.join(sites, ["host", "path"]).select("doc_id", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")], (F.col("toxic") > 0).alias("speaks"))
+    scored = scored.select("doc_id", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")], (F.col("toxic") > 0).alias("speaks"))
     rejected = (F.col("quality_probability") < good_from) | (F.col("speaks") & (F.col("toxic_probability") >= toxic_from))
     return scored.withColumn("kept", ~rejected).drop("speaks")

@@ -60,9 +60,6 @@ def _token(piece: str) -> tuple[int, int, bool]:
     return xxhash.xxh3_64_intdigest(low), kind, piece.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":")
 
 
-_tokens = Remembered(_token)
-
-
 @dataclass
 class Canonical:
     """Tokens of some texts: what each stands for in a window, also with names as they are, its value, whether it is a slot, whether it is a capitalised start of a sentence, and each text's first token."""
@@ -77,7 +74,7 @@ class Canonical:
 
 def canonical(texts: pa.Array) -> Canonical:
     distinct, which, offsets = chunks(pc.replace_substring(texts, "\n", " . "))  # a line starts a sentence
-    found = _tokens.all(distinct.to_pylist())
+    found = held("leaks", lambda: Remembered(_token)).all(distinct.to_pylist())
     n = len(found)
     value = np.fromiter((x[0] for x in found), np.uint64, n)[which]
     kind = np.fromiter((x[1] for x in found), np.int64, n)[which]
