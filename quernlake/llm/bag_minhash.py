@@ -16,8 +16,8 @@ shingles, which misses none. So no link between two texts that share a bucket is
 all its pairs. All links are exact: multisets are compared, not signatures.
 
 Cases: null counts as empty. Texts without a word are copies of each other. A text under five words has one shingle of
-all its words. Ids are expected to be unique: every row gets a class even if not, but rows with one id and different words may share one.
-A null id is an id like others.
+all its words. Rows of one id with different texts are different documents; rows of one id and text share one decision, so all of
+them are kept or none. A null id is an id like others. A text of any length is read whole; a task holds one step of texts.
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def band_keys(first: np.ndarray, bands: int = BANDS) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, words (128-bit hash of the words), and the keys of its bands, none for a text without words."""
+    """doc_id, key (MD5 of the text), words (128-bit hash of the words), and the keys of its bands, none for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches):
@@ -114,9 +114,10 @@ def sketch(docs: DataFrame, words: int = WORDS) -> DataFrame:
             keys = band_keys(first)[full].ravel()
             lists = pa.ListArray.from_arrays(pa.array((np.concatenate([[0], np.cumsum(full)]) * BANDS).astype(np.int32)), pa.array(keys))
             digest = pa.array([hashlib.blake2b(memoryview(x.as_buffer()), digest_size=16).digest() for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digest, lists], ["doc_id", "words", "bands"])
+            key = pa.array([hashlib.md5(memoryview(x.as_buffer()), usedforsecurity=False).digest() for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), key, digest, lists], ["doc_id", "key", "words", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, words binary, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, key binary, words binary, bands array<long>")
 
 
 def multiset_jaccard(a: pa.Array, b: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -226,16 +227,23 @@ def prefix_pairs(heads: DataFrame, component: DataFrame, similarity: float, ever
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the smallest id of its class), kept (it is that id), copy_of (the smallest id with the same words)."""
+    """One row per row of docs: doc_id, class_id (the smallest id of its class), kept (it is the first of its class), copy_of (the smallest id with the same words)."""
+    return classes(docs, id_col, text_col, similarity, words).drop("key")
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WORDS) -> DataFrame:
+    """The same with key, the MD5 of the text. The first of a class has its smallest id and, of this id's texts, the smallest key."""
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     sketches = write_shared(sketch(rows, words), "sketches").frame
-    groups = write_shared(sketches.groupBy("words").agg(F.min("doc_id").alias("id")), "same-words").frame
-    bands = sketches.join(groups.select("words", F.col("id").alias("doc_id")), ["words", "doc_id"], "left_semi").dropDuplicates(["words", "doc_id"])
-    bands = write_shared(bands.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket")), "bands").frame
+    # texts with the same words are one node; its number is fixed once the table is written
+    groups = sketches.groupBy("words").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    groups = write_shared(groups.withColumn("node", F.monotonically_increasing_id()), "same-words").frame
+    bands = sketches.join(groups, (sketches["words"] == groups["words"]) & (sketches["doc_id"] == groups["first.doc_id"]) & (sketches["key"] == groups["first.key"])).select("node", "bands").dropDuplicates(["node"])
+    bands = write_shared(bands.select(F.col("node").alias("id"), F.explode("bands").alias("bucket")), "bands").frame
     buckets = write_shared(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader != last").select("bucket", "leader"), "buckets").frame
     members = write_shared(bands.join(buckets, "bucket").select("bucket", "leader", "id"), "members").frame
-    wanted = write_shared(members.select("id").distinct(), "wanted").frame
-    texts = rows.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    wanted = write_shared(members.select("id").distinct().join(groups.select(F.col("node").alias("id"), "first"), "id").select("id", "first.doc_id", "first.key"), "wanted").frame
+    texts = rows.withColumn("key", F.unhex(F.md5("text"))).join(wanted, ["doc_id", "key"]).select("id", "text").dropDuplicates(["id"])
     texts = write_shared(texts, "texts").frame
 
     links = write_shared(verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, words), "links").frame
@@ -250,7 +258,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             pairs = prefix_pairs(heads, component, similarity, everyone).join(links.select("a", "b"), ["a", "b"], "left_anti")
             links = links.unionByName(write_shared(verified(pairs, texts, words), "links").frame)
             component = write_shared(connected_components(links.where(F.col("similarity") >= similarity)), "components").frame
-    named = groups.select("words", F.col("id").alias("copy_of")).join(component.select(F.col("node").alias("copy_of"), "component"), "copy_of", "left")
-    found = sketches.select("doc_id", "words").join(named, "words").withColumn("class_id", F.coalesce("component", "copy_of"))
-    real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c)
-    return found.select(real("doc_id"), real("class_id"), (F.col("doc_id") == F.col("class_id")).alias("kept"), real("copy_of"))
+    named = groups.join(component, "node", "left").select("words", F.col("first.doc_id").alias("copy_of"), "first", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    named = write_shared(named.drop("first").join(firsts, "component").select("words", "copy_of", "first"), "named").frame
+    found = sketches.select("doc_id", "key", "words").join(named, "words")
+    real = lambda c, name: F.when(F.col(c) != NULL_ID, F.col(c)).alias(name)
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("key") == F.col("first.key"))
+    return found.select(real("doc_id", "doc_id"), real("first.doc_id", "class_id"), kept.alias("kept"), real("copy_of", "copy_of"), "key")

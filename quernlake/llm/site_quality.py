@@ -20,6 +20,7 @@ is in the sample. Texts of any length are read whole, also pieces of any length
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -191,8 +192,13 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | Column = "source", path_col: str | Column = "lang", fit_rows: int = FIT_ROWS, good_from: float = 0.5, toxic_from: float = TOXIC_FROM) -> DataFrame:
-    """doc_id, host, path, quality and toxic probabilities, host and path rates, and kept; one row for each row of docs."""
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | Column = "source", path_col: str | Column = "lang", **limits) -> DataFrame:
+    """doc_id, host, path, quality and toxic probabilities, host and path rates of the others, and kept; one row for each row of docs."""
+    return verdicts(docs, labels, id_col, text_col, host_col, path_col, **limits).drop("key")
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str | Column = "source", path_col: str | Column = "lang", fit_rows: int = FIT_ROWS, good_from: float = 0.5, toxic_from: float = TOXIC_FROM) -> DataFrame:
+    """The same with key, the MD5 of the text: rows with the same doc_id, key, host and path share one decision."""
     named = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), named(host_col).alias("host"), named(path_col).alias("path"))
     targets = ("quality", "toxic")
@@ -208,9 +214,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
             used = at < len(kinds)
             used[used] = kinds[at[used]] == features[used]
             sums = [np.bincount(owner[used], weights=w[at[used]], minlength=batch.num_rows) + c for w, c in zip(weights, constants, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), *map(pa.array, sums)], ["doc_id", "host", "path", *targets])
+            key = pa.array([hashlib.md5(memoryview(x.as_buffer()), usedforsecurity=False).digest() for x in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("host"), batch.column("path"), key, *map(pa.array, sums)], ["doc_id", "host", "path", "key", *targets])
 
-    evidence = write_shared(rows.mapInArrow(run, "doc_id long, host string, path string, quality double, toxic double"), "evidence").frame
+    evidence = write_shared(rows.mapInArrow(run, "doc_id long, host string, path string, key binary, quality double, toxic double"), "evidence").frame
     made = evidence.select("*", *[(1 / (1 + F.exp(-F.col(t)))).alias(f"p_{t}") for t in targets])
     paths = write_shared(made.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), *[F.sum(f"p_{t}").alias(f"s_{t}") for t in targets]), "sites").frame
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), *[F.sum(f"s_{t}").alias(f"h_{t}") for t in targets])
@@ -227,6 +234,6 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         scored = scored.withColumn(f"host_{t}", others(f"h_{t}", t, "host_n", F.lit(rates[t]), strengths[t][0]))
         scored = scored.withColumn(f"path_{t}", others(f"s_{t}", t, "n", F.col(f"host_{t}"), strengths[t][1]))
     odds = lambda t: F.col(t) + _logit(F.greatest(F.lit(1e-4), F.least(F.lit(1 - 1e-4), F.col(f"path_{t}"))))
-    scored = scored.select("doc_id", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")], (F.col("toxic") > 0).alias("speaks"))
+    scored = scored.select("doc_id", "key", "host", "path", *[(1 / (1 + F.exp(-odds(t)))).alias(f"{t}_probability") for t in targets], *[f"{level}_{t}" for t in targets for level in ("host", "path")], (F.col("toxic") > 0).alias("speaks"))
     rejected = (F.col("quality_probability") < good_from) | (F.col("speaks") & (F.col("toxic_probability") >= toxic_from))
     return scored.withColumn("kept", ~rejected).drop("speaks")
