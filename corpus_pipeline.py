@@ -5,13 +5,19 @@
 3. near_duplicates: of each class one document stays, that of the smallest id.
 4. decontamination: documents that leak a benchmark item go.
 5. tokens: encodes and decodes what is left.
+
+A decision is about a row's id and text (quality: its source and language too), so of rows with one id and different texts each
+has its own; of rows with one id and text near_duplicates leaves one. Null ids are ids like others, null texts count as empty:
+quality and tokens treat them as texts without words, near_duplicates as copies of each other. An empty table stays empty, and
+empty labels or benchmark tables reject nothing. Further columns are carried along.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlake.llm import bag_minhash, line_templates, merge_automaton, site_quality, template_leaks
@@ -20,14 +26,16 @@ from quernlake.shared import write_shared
 from quernlake.sources.tables import table
 
 
-def _having(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among those found; null is an id like others."""
-    ids = found.select(F.col("doc_id").alias("_found_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_found_id"]), "left_semi")
+def _having(docs: DataFrame, found: DataFrame, **columns: Column) -> DataFrame:
+    """The rows of docs that found has by id and MD5 of the text, and by the further columns given; null is an id like others."""
+    own = {"doc_id": docs["doc_id"].cast("long"), "key": F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")))), **columns}
+    found = found.select([F.col(c).alias(f"_found_{c}") for c in own]).distinct()
+    return docs.join(found, reduce(Column.__and__, (x.eqNullSafe(found[f"_found_{c}"]) for c, x in own.items())), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _having(docs, site_quality.classify(docs, table(spark, sf_dir, "labels")).where("kept"))
+    named = {k: F.coalesce(docs[c].cast("string"), F.lit("")) for k, c in (("host", "source"), ("path", "lang"))}
+    return _having(docs, site_quality.verdicts(docs, table(spark, sf_dir, "labels")).where("kept"), **named)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +46,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _having(docs, bag_minhash.near_duplicates(docs).where("kept"))
+    kept = _having(docs, bag_minhash.classes(docs).where("kept"))
+    again = kept.groupBy("doc_id", F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_key"))  # rows of one id and text
+    row = F.struct(*docs.columns)
+    return again.agg(F.min_by(row, F.xxhash64(row)).alias("_row")).select("_row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
