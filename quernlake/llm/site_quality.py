@@ -27,12 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.rows import text_of
-from quernlake.llm.words import Remembered, chunks, held, steps
+from quernlake.llm.words import chunks, spread, steps
 from quernlake.shared import write_shared
 
 FIT_ROWS = 12_000
@@ -47,26 +46,44 @@ BROADCAST_SITES = 20_000
 LONG_PIECE, RUN = 64, 8
 _BITS = 20
 _SHAPES = 8
-_PIECE = regex.compile(r"^([^\p{L}\p{N}]*)(.*?)([^\p{L}\p{N}]*)$", regex.S)
-
-
-def _hash(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) & ((1 << _BITS) - 1)
-
-
-def _piece_features(piece: str) -> tuple[int, ...]:
-    if len(piece) > LONG_PIECE:
-        return tuple({_hash("r:" + piece[k : k + RUN].lower()) for k in range(0, len(piece), RUN)})
-    before, word, after = _PIECE.match(piece).groups()
-    if not word:
-        return (_hash("o:" + piece[:6]),)
-    low = word.lower()
-    found = [_hash("w:" + low), _hash("b4:" + low[:4]), _hash("b5:" + low[:5])]
-    if len(after) > 1:
-        found.append(_hash("a:" + after[:4]))
-    if before:
-        found.append(_hash("f:" + before[:2]))
-    return tuple(found)
+_PIECE = r"(?s)^(?P<before>[^\p{L}\p{N}]*)(?P<word>.*?)(?P<after>[^\p{L}\p{N}]*)$"
+WIDTH = (1 << _BITS) + 16 * _SHAPES
+
+
+def _hashed(kind: str, strings: pa.Array) -> np.ndarray:
+    """The bucket of each string's feature of a kind."""
+    coded = strings.dictionary_encode()
+    own = np.fromiter((zlib.crc32(f"{kind}:{x}".encode("utf-8", "surrogatepass")) & ((1 << _BITS) - 1) for x in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+    return own[coded.indices.to_numpy(zero_copy_only=False)] if len(own) else np.empty(0, np.int64)
+
+
+def _piece_features(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all pieces in a row, and how many each has."""
+    long = pc.greater(pc.utf8_length(pieces), LONG_PIECE).to_numpy(zero_copy_only=False)
+    parts = pc.extract_regex(pc.if_else(pa.array(long), pa.scalar("-"), pieces), _PIECE)
+    before, word, after = (parts.field(k) for k in range(3))
+    low, empty = pc.utf8_lower(word), pc.equal(pc.binary_length(word), 0).to_numpy(zero_copy_only=False)
+    cut = lambda x, n: pc.utf8_slice_codeunits(x, 0, n)
+    more = pc.greater(pc.utf8_length(after), 1).to_numpy(zero_copy_only=False) & ~empty
+    ahead = pc.greater(pc.binary_length(before), 0).to_numpy(zero_copy_only=False) & ~empty
+    columns = [(empty & ~long, "o", cut(pieces, 6)), (~empty, "w", low), (~empty, "b4", cut(low, 4)), (~empty, "b5", cut(low, 5)), (more, "a", cut(after, 4)), (ahead, "f", cut(before, 2))]
+    owner, values = [], []
+    for use, kind, strings in columns:
+        at = np.flatnonzero(use)
+        owner.append(at)
+        values.append(_hashed(kind, strings.take(pa.array(at))))
+    at = np.flatnonzero(long)
+    runs = [[x[k : k + RUN].lower() for k in range(0, len(x), RUN)] for x in pieces.take(pa.array(at)).to_pylist()]
+    owner.append(np.repeat(at, [len(x) for x in runs]))
+    values.append(_hashed("r", pa.array([y for x in runs for y in x], pa.string())))
+    owner, values = np.concatenate(owner).astype(np.int64), np.concatenate(values)
+    return values[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(pieces))
+
+
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Ascending, each once."""
+    keys = np.sort(keys)
+    return keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
 
 
 def _shape(texts: pa.Array, which: np.ndarray, offsets: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -76,7 +93,7 @@ def _shape(texts: pa.Array, which: np.ndarray, offsets: np.ndarray, lengths: np.
     n = np.diff(offsets)
     mean = np.where(n > 0, (np.concatenate([[0], np.cumsum(lengths[which])])[offsets[1:]] - np.concatenate([[0], np.cumsum(lengths[which])])[offsets[:-1]]) / np.maximum(n, 1), 0)
     owner = np.repeat(np.arange(len(n)), n)
-    distinct = np.bincount(np.unique(owner * (which.max(initial=0) + 1) + which) // (which.max(initial=0) + 1), minlength=len(n)) / np.maximum(n, 1)
+    distinct = np.bincount(_distinct(owner * (which.max(initial=0) + 1) + which) // (which.max(initial=0) + 1), minlength=len(n)) / np.maximum(n, 1)
     same = np.zeros(len(n))
     if len(which) > 1:
         same = np.bincount(owner[1:], weights=(which[1:] == which[:-1]) & (owner[1:] == owner[:-1]), minlength=len(n)) / np.maximum(n, 1)
@@ -85,23 +102,19 @@ def _shape(texts: pa.Array, which: np.ndarray, offsets: np.ndarray, lengths: np.
     return (1 << _BITS) + np.stack(buckets)
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of a slice, each pair once."""
+def _features(batch: pa.RecordBatch, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of a slice, each pair once; only the wanted features (a flag for each), if given."""
     texts = batch.column("text")
     distinct, which, offsets = chunks(texts)
-    found = held("quality", lambda: Remembered(_piece_features)).all(distinct.to_pylist())
-    sizes = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((x for f in found for x in f), np.int64, int(sizes.sum()))
-    width = (1 << _BITS) + 16 * _SHAPES
-    rows = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-    pairs = np.unique(rows * len(found) + which) if len(found) else np.empty(0, np.int64)
-    rows, kinds = (pairs // len(found), pairs % len(found)) if len(found) else (pairs, pairs)
-    starts, size = (np.cumsum(sizes) - sizes)[kinds], sizes[kinds]
-    ends = np.concatenate([[0], np.cumsum(size)])
-    features = flat[np.repeat(starts - ends[:-1], size) + np.arange(ends[-1])]
-    shape = _shape(texts, which, offsets, pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64) if len(found) else np.empty(0, np.int64))
-    keys = np.unique(np.concatenate([np.repeat(rows, size) * width + features, (np.arange(batch.num_rows) * width + shape).ravel()]))
-    return keys // width, keys % width
+    flat, sizes = _piece_features(distinct)
+    if wanted is not None:
+        of, use = np.repeat(np.arange(len(sizes)), sizes), wanted[flat]
+        flat, sizes = flat[use], np.bincount(of[use], minlength=len(sizes))
+    features, ends = spread(flat, np.cumsum(sizes) - sizes, sizes, which, offsets)
+    shape = _shape(texts, which, offsets, pc.utf8_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64))
+    rows = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+    keys = _distinct(np.concatenate([rows * WIDTH + features, (np.arange(batch.num_rows) * WIDTH + shape).ravel()]))
+    return keys // WIDTH, keys % WIDTH
 
 
 def fit_linear(present: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
@@ -208,8 +221,10 @@ def verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     constants = [models[t][1] for t in targets]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(WIDTH, bool)
+        wanted[kinds] = True
         for batch in steps(batches):
-            owner, features = _features(batch)
+            owner, features = _features(batch, wanted)
             at = np.searchsorted(kinds, features)
             used = at < len(kinds)
             used[used] = kinds[at[used]] == features[used]
