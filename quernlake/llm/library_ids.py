@@ -1,9 +1,9 @@
-"""Ids as the tokenizers library gives them, for many texts at once.
+"""Ids of many texts at once, as the tokenizers library gives them or as another encoder of words does.
 
 A word-end vocabulary whose pre-splitter keeps words inside white space gives a text the ids of its words in a row. So each
 step's distinct words are found by Arrow, those of earlier steps are looked up in a table of at most LIMIT words, and only new
-ones go to the library, many in one call: each of its words ends with a token that carries the mark of the word's end. Texts
-that hold an added token, pieces of unusual characters, and all texts under a file of another form go to the library as they are.
+ones are encoded. The library gets many in one call: each word ends with a token that carries the mark of the word's end. Texts
+that hold an added token, pieces of unusual characters, and all texts under a file of another form are encoded as they are.
 """
 
 from __future__ import annotations
@@ -34,46 +34,37 @@ def keeps_white_space_apart(spec: dict) -> bool:
     return [n["type"] for n in normal.get("normalizers", [])] == ["NFC", "Replace", "Lowercase"] and patterns == [PATTERN] and bool(spec["model"].get("end_of_word_suffix"))
 
 
-class LibraryIds:
-    """The tokenizers library's own tokenizer behind a table of words that it has encoded."""
+class WordTable:
+    """A table of words that have been encoded, in front of what encodes them: `_plain` for words of plain letters or marks, `_whole` for anything else."""
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        with open(path, encoding="utf-8") as file:
-            spec = json.load(file)
-        self.by_words = keeps_white_space_apart(spec)
-        self.added = [x["content"] for x in spec["added_tokens"]]
-        labels = spec["model"]["vocab"]
-        self.ends = np.zeros(max(labels.values()) + 1, bool)
-        if self.by_words:
-            self.ends[[i for s, i in labels.items() if s.endswith(spec["model"]["end_of_word_suffix"])]] = True
+    def __init__(self, by_words: bool, added: list[str]):
+        self.by_words, self.added = by_words, added
         self.words = pa.array([], pa.string())
         self.starts = self.lengths = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and where each begins and the last ends."""
+        raise NotImplementedError
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts or pieces as they are."""
+        raise NotImplementedError
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts with add_special_tokens=False, and each text's first place."""
         whole = np.full(len(texts), not self.by_words)
         for token in self.added if self.by_words else ():
             whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if not whole.any():
-            return self._by_words(pc.ascii_lower(texts))
+            return self._by_words(pc.ascii_lower(texts))  # the form has a normaliser to lower case
         ids, offsets = self._by_words(pc.ascii_lower(texts.filter(pa.array(~whole)))) if not whole.all() else (np.empty(0, np.uint32), np.zeros(1, np.int64))
-        own, bounds = self._by_library(texts.filter(pa.array(whole)).to_pylist())
+        own, bounds = self._whole(texts.filter(pa.array(whole)).to_pylist())
         lengths, starts = np.empty(len(texts), np.int64), np.empty(len(texts), np.int64)
         lengths[~whole], lengths[whole] = np.diff(offsets), np.diff(bounds)
         starts[~whole], starts[whole] = offsets[:-1], bounds[:-1] + len(ids)
         return spread(np.concatenate([ids, own]), starts, lengths, np.arange(len(texts)), np.arange(len(texts) + 1))
 
-    def _by_library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return np.concatenate(found) if found else np.empty(0, np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
-
     def _by_words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         pieces, which, offsets = chunks(texts)
         plain = pc.match_substring_regex(pieces, PLAIN)
@@ -89,8 +80,8 @@ class LibraryIds:
         at = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         new = np.flatnonzero(at < 0)
         joined, alone = words.take(pa.array(new[usual[new]])), words.take(pa.array(new[~usual[new]])).to_pylist()
-        ids, bounds = self._ends_of(joined.to_pylist())
-        more, own = self._by_library(alone)
+        ids, bounds = self._plain(joined.to_pylist())
+        more, own = self._whole(alone)
         lengths = np.empty(len(words), np.int64)
         lengths[at >= 0] = self.lengths[at[at >= 0]]
         lengths[new[usual[new]]], lengths[new[~usual[new]]] = np.diff(bounds), np.diff(own)
@@ -110,12 +101,34 @@ class LibraryIds:
         self.starts = np.cumsum(self.lengths) - self.lengths
         return self.starts[: len(words)], self.lengths[: len(words)]
 
-    def _ends_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of plain words, and where each begins."""
-        ids, _ = self._by_library([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
+
+class LibraryIds(WordTable):
+    """The tokenizers library's own tokenizer behind a table of words."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        super().__init__(keeps_white_space_apart(spec), [x["content"] for x in spec["added_tokens"]])
+        labels = spec["model"]["vocab"]
+        self.ends = np.zeros(max(labels.values()) + 1, bool)
+        if self.by_words:
+            self.ends[[i for s, i in labels.items() if s.endswith(spec["model"]["end_of_word_suffix"])]] = True
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found) if found else np.empty(0, np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int64)
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = self._whole([" ".join(words[k : k + JOINED]) for k in range(0, len(words), JOINED)])
         bounds = np.concatenate([[0], np.flatnonzero(self.ends[ids]) + 1])
         if len(bounds) - 1 != len(words) or bounds[-1] != len(ids):  # a word was cut in two after all
-            return self._by_library(words)
+            return self._whole(words)
         return ids, bounds
 
 

@@ -20,17 +20,16 @@ import json
 import re
 from array import array
 from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 
 from quernlake.llm.rows import id_and_text
-from quernlake.llm.library_ids import PATTERN, keeps_white_space_apart
-from quernlake.llm.words import Remembered, encode_texts, held, steps
+from quernlake.llm.library_ids import WordTable, keeps_white_space_apart
+from quernlake.llm.words import held, steps
 
 
 def byte_symbols() -> list[str]:
@@ -43,7 +42,7 @@ def byte_symbols() -> list[str]:
 class MergeAutomaton:
     """The compiled merges of a vocabulary: `step` is a transition, `encode` the path of a word."""
 
-    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", memo: int = 100_000):
+    def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], end: str = "", memo: int = 250_000):
         made = {a + b: k for k, (a, b) in enumerate(merges, 1)}
         if len(made) < len(merges) or any(x not in vocab or made.get(x, 0) >= k for k, pair in enumerate(merges, 1) for x in pair):
             raise ValueError("each merge must make a token of its own, of symbols or of tokens that earlier merges make")
@@ -176,15 +175,23 @@ class MergeAutomaton:
         return tuple(ids)
 
 
+#: Bytes of text that are encoded at once: the more, the fewer words are looked up again.
+STEP_BYTES = 8_000_000
 #: Symbols of a word beyond which its rests are no longer remembered.
 LONG_WORD = 48
 #: Symbols by which the tokens that may come next are looked up at once.
 HEAD = 4
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿĀ-ž]*")
-_SPLIT = regex.compile(PATTERN)
 
 
-class WordBpe:
+def _in_a_row(runs: Iterable[Iterable[int]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, bounds = array("I"), array("q", [0])
+    for run in runs:
+        ids.extend(run)
+        bounds.append(len(ids))
+    return np.frombuffer(ids, np.uint32) if ids else np.empty(0, np.uint32), np.frombuffer(bounds, np.int64)
+
+
+class WordBpe(WordTable):
     """A vocabulary file of word-end BPE: pre-splits as its file says, then runs the automaton on each word."""
 
     def __init__(self, path: str):
@@ -195,42 +202,33 @@ class WordBpe:
             spec = json.load(file)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
-        #: Whether words can be cut here; if not, the library's own normaliser and pre-splitter see each text whole.
-        self.known = keeps_white_space_apart(spec)
+        # words are cut here only if the file has the form for it; else the library's own normaliser and pre-splitter see each text whole
+        super().__init__(keeps_white_space_apart(spec), [x["content"] for x in spec["added_tokens"]])
         self.automaton = MergeAutomaton(model["vocab"], [tuple(x) if isinstance(x, list) else tuple(x.split(" ")) for x in model["merges"]], self.end)
-        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.symbols = byte_symbols()
-        labels = model["vocab"] | self.added
+        labels = model["vocab"] | self.special
         self.labels = [""] * (max(labels.values()) + 1)
         for s, i in labels.items():
             self.labels[i] = s
         self.arrow_labels = pa.array(self.labels, pa.string())
-        self.words = Remembered(self.automaton.encode)
-        self.pieces = Remembered(lambda x: array("I", self.piece(x)).tobytes())
-
-    def split(self, piece: str) -> list[str]:
-        """Words of a piece without white space, as byte symbols."""
-        if self.known and _PLAIN.fullmatch(piece):  # composed letters only: nothing to normalise but case
-            symbols = self.symbols
-            return ["".join([symbols[b] for b in w.encode()]) if not w.isascii() else w for w in _SPLIT.findall(piece.lower())]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(piece))]
-
-    def piece(self, piece: str) -> list[int]:
-        """Ids of a piece between white space."""
-        if self.specials and self.specials.search(piece):
-            return [i for part in self.specials.split(piece) if part for i in ([self.added[part]] if part in self.added else self.piece(part))]
-        words = self.split(piece)
-        return self.words.one(words[0]) if len(words) == 1 else [i for w in words for i in self.words.one(w)]
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and where each text begins."""
-        if not self.known:
-            runs = [self.piece(x) for x in texts.to_pylist()]
-            return np.fromiter((i for x in runs for i in x), np.uint32), np.concatenate([[0], np.cumsum([len(x) for x in runs])]).astype(np.int64)
-        if not any(pc.any(pc.match_substring(texts, x)).as_py() for x in self.added):  # case can go at once
-            texts = pc.ascii_lower(texts)
-        return encode_texts(texts, self.pieces.all)
+
+    def split(self, text: str) -> list[str]:
+        """Words of a text without added tokens, as byte symbols."""
+        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+
+    def whole(self, text: str) -> list[int]:
+        """Ids of a text or a piece of one."""
+        parts = self.specials.split(text) if self.specials else [text]
+        return [i for part in parts if part for i in ([self.special[part]] if part in self.special else (i for w in self.split(part) for i in self.automaton.encode(w)))]
+
+    def _whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _in_a_row(map(self.whole, texts))
+
+    def _plain(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        symbols, encode = self.symbols, self.automaton.encode
+        return _in_a_row(encode(w if w.isascii() else "".join([symbols[b] for b in w.lower().encode()])) for w in words)
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
         """The texts that the arcs' labels spell, joined by a space as a vocabulary without decoder has it."""
@@ -245,7 +243,7 @@ def word_bpe(path: str) -> WordBpe:
 def encoded_steps(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Each slice of rows with the ids of its texts and each text's first place."""
     bpe = word_bpe(path)
-    for batch in steps(batches):
+    for batch in steps(batches, step_bytes=STEP_BYTES):
         yield batch, *bpe.encode(batch.column("text"))
 
 

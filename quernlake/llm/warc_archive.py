@@ -12,7 +12,8 @@ from the start passes are parsed, so magic inside a payload is never a record. A
 end raises an error. Offsets are all that moves between tasks; a task holds one chunk and one record.
 
 Cases: a null payload is an empty one; null urls and ids are left out of the header and read as null. Equal rows are
-all written; rows that share the smallest id are all responses, and so is a page without an id. Payloads of any length are written and read whole.
+all written; rows that share the smallest id are all responses, and so is a page without an id. A payload may hold whole
+records, or headers that claim any length. Payloads of any length are written and read whole.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ CHUNK_BYTES = 8 << 20
 HEADER_BYTES = 64 << 10
 FILE_BYTES = 256 << 20
 MAGIC = b"WARC/1.1\r\n"
-_LENGTH = re.compile(rb"\r\nContent-Length: (\d+)\r\n", re.I)
+#: No record is longer than 18 digits tell; a payload may claim any length.
+_LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n", re.I)
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -122,14 +124,16 @@ def _count_chunks(files: DataFrame, chunk_bytes: int) -> tuple[int, int]:
     return tuple(int(x or 0) for x in files.agg(F.sum(n), F.max(n)).first())
 
 
-def candidates_in(data: bytes, start: int, size: int) -> dict[int, int]:
-    """Offsets in [start, start + size) that look like records, and their successors; data begins at start."""
+def candidates_in(data: bytes, start: int, size: int, end_of_file: int) -> dict[int, int]:
+    """Offsets in [start, start + size) that look like records, and their successors inside the file or at its end; data begins at start."""
     found = {}
     at = data.find(MAGIC, 0, size + len(MAGIC) - 1)
     while 0 <= at < size:
         end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
         if end >= 0 and (length := _LENGTH.search(data, at + len(MAGIC) - 2, end + 2)):
-            found[start + at] = start + end + 4 + int(length[1]) + 4
+            following = start + end + 4 + int(length[1]) + 4
+            if following <= end_of_file:
+                found[start + at] = following
         at = data.find(MAGIC, at + 1, size + len(MAGIC) - 1)
     return found
 
@@ -137,15 +141,15 @@ def candidates_in(data: bytes, start: int, size: int) -> dict[int, int]:
 def record_links(files: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(file_no, chunk, at, next): for each candidate the first offset of its chain beyond its chunk."""
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(chunk_bytes).cast("long"))
-    places = _dealt(files.select("file_no", "file", F.explode(starts).alias("chunk")), _count_chunks(files, chunk_bytes)[0])
+    places = _dealt(files.select("file_no", "file", "bytes", F.explode(starts).alias("chunk")), _count_chunks(files, chunk_bytes)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, file, chunk in zip(*(batch.column(c).to_pylist() for c in ("file_no", "file", "chunk")), strict=True):
+            for number, file, size, chunk in zip(*(batch.column(c).to_pylist() for c in ("file_no", "file", "bytes", "chunk")), strict=True):
                 store, path = opened(file)
                 with store.open_input_file(path) as source:
                     source.seek(chunk)
-                    found = candidates_in(source.read(chunk_bytes + HEADER_BYTES), chunk, chunk_bytes)
+                    found = candidates_in(source.read(chunk_bytes + HEADER_BYTES), chunk, chunk_bytes, size)
                 beyond: dict[int, int] = {}
                 for at in sorted(found, reverse=True):
                     beyond[at] = beyond.get(found[at], found[at]) if found[at] < chunk + chunk_bytes else found[at]

@@ -127,11 +127,3 @@ class Remembered:
         young, one = self.young, self.one
         return [found if (found := young.get(x)) is not None else one(x) for x in pieces]
 
-
-def encode_texts(texts: pa.Array, encode: Callable[[list[str]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts in a row and each text's first place. `encode` gives the ids of pieces between white space, as unsigned 32-bit integers."""
-    distinct, which, offsets = chunks(texts)
-    runs = encode(distinct.to_pylist())
-    lengths = np.fromiter(map(len, runs), np.int64, len(runs)) // 4
-    starts = np.cumsum(lengths) - lengths
-    return spread(np.frombuffer(b"".join(runs), np.uint32), starts, lengths, which, offsets)
