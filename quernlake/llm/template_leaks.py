@@ -5,34 +5,38 @@ Tokens are words without outer punctuation, in lower case. A token with a digit
 for texts that lost their case. A capitalised word at the start of a sentence or line may be either, so on both sides
 windows are looked up in each reading of up to OPENINGS such words (with more: all plain or all names). Windows of WINDOW such tokens of the benchmark are a hash table
 that the windows of all whole documents are joined with. Matches of one item along one alignment are taken together;
-its slots must be consistent: equal values of the benchmark's slots stand for equal values in the document, and
-different ones for different ones. So a question that was given other numbers and names is found, and a text that only
+its slots must be consistent: equal values of the benchmark's slots stand for equal values in the document. So a question that was given other numbers and names is found, and a text that only
 has the same shape is not. A document leaks an item if at least LEAST windows (or all, if the item has fewer) agree.
 
-The benchmark is read in blocks of at most BLOCK_TOKENS tokens; each block is one pass over the documents, so the table
-that the workers hold is bounded whatever the size of the benchmark, and there is no shuffle.
+The benchmark is cut into blocks of at most BLOCK_TOKENS tokens, files in the shared folder that the driver writes one at a
+time. A task canonicalises each of its documents once and looks its windows up in one block after the other, so the driver and
+a worker hold one block whatever the size of the benchmark, the plan has one step, and there is no shuffle.
 
 Cases: null counts as empty. Items under WINDOW tokens are one window of their own length; windows with fewer than
 LITERALS ordinary words are left out, as anything would match them, but an item of only such windows is matched with its
-numbers and names as they are. Items under SHORTEST tokens are left out. Equal items are all
-reported. Documents are neither merged nor dropped here. An empty benchmark leaks nowhere.
+numbers and names as they are. Items under SHORTEST tokens leak only in a text that has these tokens and no others, items
+without a token nowhere; items without an id can't be reported and are not looked for. Equal items are all reported. Different
+values of an item's slots may have one value in a document. Documents of any length are read whole, and neither merged nor
+dropped here. An empty benchmark leaks nowhere.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quernlake.llm.rows import id_and_text, text_of
-from quernlake.llm.words import Remembered, chunks, held, mix, steps
+from quernlake.llm.shared_files import opened, write_once
+from quernlake.llm.words import STEP_BYTES, chunks, held, mix, steps
+from quernlake.shared import new_path
 
 WINDOW = 8
 LEAST = 6
@@ -44,20 +48,23 @@ SIEVE_BITS = 20
 #: Capitalised starts of sentences in a window of which every reading is looked up.
 OPENINGS = 4
 UNITS = frozenset("% percent mm cm m km mile miles foot feet inch inches yard yards mg g kg ton tons tonne tonnes gram grams kilogram kilograms ounce ounces pound pounds lb lbs ml l litre litres liter liters gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years usd eur gbp dollar dollars euro euros cent cents rupee rupees mph kmh kph degree degrees celsius fahrenheit volt volts watt watts joule joules newton newtons".split())
-_EDGES = regex.compile(r"^[^\p{L}\p{N}%]+|[^\p{L}\p{N}%]+$")
+_CORE = r"(?s)^[^\p{L}\p{N}%]*(?P<core>.*?)[^\p{L}\p{N}%]*$"
 _NUMBER, _UNIT, _NAME = (xxhash.xxh3_64_intdigest(x) for x in ("<number>", "<unit>", "<name>"))
 _FACTORS = mix(np.arange(1, WINDOW + 1, dtype=np.uint64)) | np.uint64(1)
 _WORD, _DIGITS, _MEASURE, _CAPITAL, _NOTHING = range(5)
 
 
-def _token(piece: str) -> tuple[int, int, bool]:
-    """Hash of the plain token, its kind, and whether a sentence ends with it."""
-    plain = _EDGES.sub("", piece)
-    if not plain:
-        return 0, _NOTHING, piece[-1:] in ".!?"
-    low = plain.lower()
-    kind = _DIGITS if any(c.isdecimal() for c in plain) else _MEASURE if low in UNITS else _CAPITAL if plain[0].isupper() and not (len(plain) > 1 and plain.isupper()) else _WORD
-    return xxhash.xxh3_64_intdigest(low), kind, piece.rstrip("\"'”’)]")[-1:] in (".", "!", "?", ":")
+def _tokens(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each piece's plain token, its kind, and whether a sentence ends with it."""
+    flags = lambda x: x.to_numpy(zero_copy_only=False).astype(bool)
+    plain = pc.extract_regex(pieces, _CORE).field(0)
+    low = pc.utf8_lower(plain)
+    value = np.fromiter(map(xxhash.xxh3_64_intdigest, low.to_pylist()), np.uint64, len(low))
+    nothing = flags(pc.equal(pc.binary_length(plain), 0))
+    capital = flags(pc.utf8_is_upper(pc.utf8_slice_codeunits(plain, 0, 1))) & ~(flags(pc.utf8_is_upper(plain)) & flags(pc.greater(pc.utf8_length(plain), 1)))
+    kind = np.select([nothing, flags(pc.match_substring_regex(plain, r"\p{Nd}")), flags(pc.is_in(low, pa.array(sorted(UNITS)))), capital], [_NOTHING, _DIGITS, _MEASURE, _CAPITAL], _WORD)
+    ends = np.where(nothing, flags(pc.match_substring_regex(pieces, r"[.!?]$")), flags(pc.match_substring_regex(pieces, r"[.!?:][\"'”’)\]]*$")))
+    return np.where(nothing, np.uint64(0), value), kind, ends
 
 
 @dataclass
@@ -74,11 +81,7 @@ class Canonical:
 
 def canonical(texts: pa.Array) -> Canonical:
     distinct, which, offsets = chunks(pc.replace_substring(texts, "\n", " . "))  # a line starts a sentence
-    found = held("leaks", lambda: Remembered(_token)).all(distinct.to_pylist())
-    n = len(found)
-    value = np.fromiter((x[0] for x in found), np.uint64, n)[which]
-    kind = np.fromiter((x[1] for x in found), np.int64, n)[which]
-    ends = np.fromiter((x[2] for x in found), bool, n)[which]
+    value, kind, ends = (x[which] for x in _tokens(distinct))
     starts = np.zeros(len(which), bool)
     starts[1:] = ends[:-1]
     first = offsets[:-1][np.diff(offsets) > 0]
@@ -140,7 +143,7 @@ class Block:
     ids: np.ndarray
     tokens: Canonical
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
-    exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+    exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # of sizes under SHORTEST: of whole texts
     needed: np.ndarray
 
 
@@ -160,7 +163,7 @@ def block_of(items: list[tuple[int, str]]) -> Block:
         owner, at, hashed = np.concatenate([owner, owner[index]]), np.concatenate([at, at[index]]), np.concatenate([hashed, read])
         order = np.argsort(hashed, kind="stable")
         windows[size] = (hashed[order], owner[order], at[order])
-    poor, exact = (needed == 0) & (n >= SHORTEST), {}
+    poor, exact = (needed == 0) & (n > 0), {}
     for size in sorted({int(min(k, WINDOW)) for k in n[poor]}):
         owner, at, hashed = _windows(c, size, c.value, 0)
         own = poor[owner] & (np.minimum(n[owner], WINDOW) == size)
@@ -171,15 +174,17 @@ def block_of(items: list[tuple[int, str]]) -> Block:
     return Block(np.array([i for i, _ in items], np.int64), c, windows, exact, np.minimum(needed, LEAST))
 
 
-def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
+def leaks(c: Canonical, block: Block) -> list[tuple[int, int]]:
     """(text, item) of the texts that leak an item of the block, ascending, each pair once."""
-    c = canonical(texts)
     docs, items, places, shifts, sizes = [], [], [], [], []
     for size, (hashed, owner, at), plain in [*((k, x, False) for k, x in block.windows.items()), *((k, x, True) for k, x in block.exact.items())]:
         if not len(hashed):
             continue
         if plain:
             text, place, h = _windows(c, size, c.value, 0)
+            if size < SHORTEST:
+                whole = (np.diff(c.offsets) == size)[text]
+                text, place, h = text[whole], place[whole], h[whole]
         else:
             text, place, h = _windows(c, size, c.stands)
             index, read = _readings(c, size, place, h)
@@ -214,16 +219,15 @@ def leaks(texts: pa.Array, block: Block) -> list[tuple[int, int]]:
 
 
 def _consistent(c: Canonical, bench: Canonical, places: np.ndarray, size: int, shift: int) -> bool:
-    """Whether the slots of the aligned windows map one to one."""
+    """Whether equal slots of the item are equal in the aligned windows."""
     covered = np.unique((places[:, None] + np.arange(size)).ravel())
     covered = covered[c.slot[covered] | (c.value[covered] != bench.value[covered - shift])]
     there: dict[int, int] = {}
-    back: dict[int, int] = {}
-    return all(there.setdefault(x, y) == y and back.setdefault(y, x) == x for x, y in zip(bench.value[covered - shift].tolist(), c.value[covered].tolist(), strict=True))
+    return all(there.setdefault(x, y) == y for x, y in zip(bench.value[covered - shift].tolist(), c.value[covered].tolist(), strict=True))
 
 
 def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> Iterator[Block]:
-    """The items in blocks, one block on the driver at a time."""
+    """The items in blocks; a caller that lets each go has one block at a time."""
     held, size = [], 0
     for row in benchmark.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id IS NOT NULL").toLocalIterator():
         n = len(row["text"].split())
@@ -244,19 +248,27 @@ def leaked_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **names) -> DataFrame:
     """row (all columns of docs as a struct, whatever their names) and items, for each row of docs."""
-    result = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"), F.array().cast("array<long>").alias("items"))
-    for block in blocks(benchmark, **names):
-        result = result.mapInArrow(_pass_over(block), result.schema)
-    return result.select("row", "items")
+    folder, files = new_path(docs.sparkSession, "leak-blocks"), []
+    for k, block in enumerate(blocks(benchmark, **names)):
+        files.append(f"{folder}/block-{k:06d}")
+        write_once(files[-1], lambda out, block=block: out.write(pickle.dumps(block)))
+    rows = docs.select(F.struct("*").alias("row"), text_of(text_col).alias("text"), F.array().cast("array<long>").alias("items"))
 
-
-def _pass_over(block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches):
+        for batch in steps(batches, step_bytes=STEP_BYTES * max(1, min(8, len(files)))):
             at = batch.schema.get_field_index("items")
-            lists = batch.column(at).to_pylist()
-            for text, item in leaks(batch.column("text"), block):
-                lists[text] = sorted({*lists[text], int(block.ids[item])})
-            yield batch.set_column(at, "items", pa.array(lists, pa.list_(pa.int64())))
+            found: list[set[int]] = [set() for _ in range(batch.num_rows)]
+            c = canonical(batch.column("text"))
+            for file in files:
+                block = held(file, lambda file=file: _read_block(file))
+                for text, item in leaks(c, block):
+                    found[text].add(int(block.ids[item]))
+            yield batch.set_column(at, "items", pa.array([sorted(x) for x in found], pa.list_(pa.int64())))
+
+    return rows.mapInArrow(run, rows.schema).select("row", "items")
+
 
-    return run
+def _read_block(file: str) -> Block:
+    store, path = opened(file)
+    with store.open_input_stream(path) as stream:
+        return pickle.loads(stream.read())

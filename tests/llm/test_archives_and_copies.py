@@ -47,6 +47,20 @@ def test_a_broken_chain_is_an_error(spark, tmp_path):
         warc_archive.read_archives(files).count()
 
 
+@pytest.mark.parametrize("digits", ["99999999999999999999", "9" * 5000, "99999999999"])
+def test_payloads_that_claim_a_long_record(spark, digits):
+    hostile = f"<p>WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {digits}\r\n\r\nabc\r\n\r\n</p>" * 3
+    pages = spark.createDataFrame([(k, "u", hostile + str(k)) for k in range(5)], "page_id long, url string, html string")
+    got = warc_archive.read_archives(warc_archive.write_archives(pages), chunk_bytes=500).collect()
+    assert {r.page_id: r.payload.decode() for r in got} == {k: hostile + str(k) for k in range(5)}
+
+
+def test_pages_without_an_id_are_responses_in_the_sql_too(spark, tmp_path):
+    rows = [(None, "u", "y" * 200), (None, "u", "y" * 200), (3, "u", "y" * 200), (4, "u", "y" * 200)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert assert_same(queries.op1_warc_archive(spark, str(tmp_path)), queries.OP1_SQL, str(tmp_path)) == 4
+
+
 def test_no_pages(spark, pages):
     assert warc_archive.read_archives(warc_archive.write_archives(pages.where("false"))).count() == 0
 

@@ -167,6 +167,19 @@ def test_slots_must_be_consistent(spark, documents):
     assert got == {1: [1], 2: []}
 
 
+@pytest.mark.parametrize("tokens", [40, 500_000])
+def test_every_item_of_tokens_is_found_verbatim(spark, documents, tokens):
+    items = ["Anna Berta Clara Dora Emil Franz Gustav Hans Ida", "12 13 14 15 16 17", "two words", "What is 15 + 27 * 3?", ITEM, OTHER, "Yes."]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = [(k, x) for k, x in enumerate(items)] + [(50, "Yes. two words of no item"), (51, "Some clean text of thirteen words that has nothing to do with it.")]
+    docs += [(60, "A car covers 60 km in the first hour and 90 km in the next hour of the long trip"), (61, "A car covers 50 km in the first hour and 50 km in the next hour of the long trip")]
+    bench = bench.unionByName(spark.createDataFrame([(60, docs[-2][1])], "item_id long, text string"))
+    frame = template_leaks.leaked_items(documents(docs), bench, block_tokens=tokens)
+    assert frame._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r.doc_id: r["items"] for r in frame.collect()}
+    assert got == {**{k: [k] for k in range(len(items))}, 50: [], 51: [], 60: [60], 61: [60]}
+
+
 def test_leaks_after_headings_and_with_other_names_at_sentence_starts(spark, documents):
     short = "Which of the seven rivers flows through the old northern town?"
     apples = "Tom has 3 apples. Tom buys 5 more apples. How many apples does Tom have?"
