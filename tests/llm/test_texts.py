@@ -6,7 +6,9 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from quernlake.llm import class_lm, license_spans, line_templates, queries, site_quality, template_leaks
 from quernlake.llm.license_texts import TEMPLATES
@@ -270,7 +272,7 @@ def test_contract_columns_by_hand(documents):
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows}
     count = Counter(w for i, t in rows if not held[i] for w in tokens(t))
     total, types = sum(count.values()), len(count)
-    got = {r.doc_id: r for r in class_lm.score_documents(documents(rows), hot_limit=4, clustered=3, classes=2).collect()}
+    got = {r.doc_id: r for r in class_lm.score_documents(documents(rows), dealt_limit=4, seed=3, classes=2, least=1).collect()}
     for i, t in rows:
         base = sum(math.log10((count[w] + 1) / (total + types + 1)) for w in tokens(t))
         r = got[i]
@@ -283,12 +285,12 @@ def test_the_model_sums_to_one(documents):
     texts = ["a b a b c", "a b d", "b a", "c a b e f"] * 5
     rows = list(enumerate(texts))
     train = documents(rows)
-    model, counts = class_lm.train_model(train.select("doc_id", "text"), clustered=3, classes=2)
+    model, counts = class_lm.train_model(train.select("doc_id", "text"), seed=3, classes=2, least=1)
     known = sorted(w for w in {w for t in texts for w in t.split()})
     probe = documents([(0, "a"), *[(k + 1, f"a {w}") for k, w in enumerate([*known, "zzz"])]]).selectExpr("doc_id", "text", "false AS held_out")
     got = {r.doc_id: r.score for r in class_lm.score(probe, model, counts).collect()}
     # P(a) P(x | a) P(end | x) / P(a), summed with the end, must be below one; without the last factor it is one
-    of = {w: model.hot.get(w, (0, class_lm._RARE))[1] for w in known}
+    of = {w: int(model.dealt.class_of(pa.array([w]))[0]) for w in known}
     def start(w):  # noqa: E306
         c = of.get(w, class_lm._RARE)
         return got[0] - model.transitions[of["a"], class_lm._BOUND], model.transitions[c, class_lm._BOUND]
@@ -304,10 +306,50 @@ def test_classes_beat_the_base_on_held_out_text(documents):
     det, noun, verb = ["the", "a", "one"], [f"n{k}" for k in range(12)], [f"v{k}" for k in range(12)]
     sentence = lambda: f"{rng.choice(det)} {rng.choice(noun)} {rng.choice(verb)}"
     rows = [(k, " ".join(sentence() for _ in range(12))) for k in range(300)]
-    got = class_lm.score_documents(documents(rows), clustered=27, classes=3).where("held_out").collect()
+    got = class_lm.score_documents(documents(rows), seed=27, classes=3, least=2).where("held_out").collect()
     assert sum(r.score for r in got) > 0.75 * sum(r.base_score for r in got)
 
 
+def test_all_frequent_words_are_dealt_and_the_score_is_the_models(documents):
+    rng = random.Random(8)
+    det, noun, verb = ["the", "a", "one"], [f"n{k}" for k in range(12)], [f"v{k}" for k in range(12)]
+    rows = [(k, " ".join(f"{rng.choice(det)} {rng.choice(noun)} {rng.choice(verb)}" for _ in range(12))) for k in range(300)] + [(300 + k, f"the n1 once{k} v2 pair{k // 2}") for k in range(12)] + [(320, "")]
+    docs = documents(rows).withColumn("held_out", class_lm.held_out(F.col("doc_id")))
+    model, counts = class_lm.train_model(docs.where("NOT held_out"), seed=12, classes=3, least=3)
+    of = lambda w: int(model.dealt.class_of(pa.array([w]))[0])
+    assert class_lm._RARE not in map(of, det + noun + verb) and len({of(w) for w in noun}) == 1 and len({of(w) for w in verb}) == 1 and of(noun[0]) != of(verb[0])
+    known = {r.word: r.n for r in counts.collect()}
+    held = {r.doc_id: r.held_out for r in docs.collect()}
+    pairs = Counter()
+    for i, t in rows:
+        path = [0, *map(of, t.split()), 0]
+        if not held[i]:
+            pairs.update(zip(path, path[1:], strict=False))
+    into, total = Counter(), sum(pairs.values())
+    for (_, b), n in pairs.items():
+        into[b] += n
+    out = Counter()
+    for (a, _), n in pairs.items():
+        out[a] += n
+    move = lambda a, b: math.log10((pairs[a, b] + 4 * (into[b] + 1) / (total + 5)) / (out[a] + 4))
+    rare = {w: n for w, n in known.items() if w != " " and n < 3}
+    once, twice = (sum(n == k for n in known.values()) for k in (1, 2))
+    discount = min(once / (once + 2 * twice), 0.99)
+    in_class = Counter()
+    for w, n in known.items():
+        in_class[of(w)] += n
+
+    def emit(w):
+        if of(w) != class_lm._RARE:
+            return math.log10(known[w] / in_class[of(w)])
+        return math.log10(((known[w] - discount) if w in known else discount * len(rare) + 1) / (sum(rare.values()) + 1))
+
+    got = {r.doc_id: r.score for r in class_lm.score(docs.select("doc_id", "text", "held_out"), model, counts).collect()}
+    for i, t in rows:
+        path = [0, *map(of, t.split()), 0]
+        assert math.isclose(got[i], sum(move(a, b) for a, b in zip(path, path[1:], strict=False)) + sum(map(emit, t.split())), rel_tol=1e-9), i
+
+
 def test_exchange_raises_the_likelihood():
     import numpy as np
 
