@@ -28,18 +28,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 50) -> DataFrame:
-    """(node, component): the smallest node of its component, for every node that an edge between two nodes has."""
+    """(node, component): the smallest node of its component, for every node that an edge between two nodes has. Raises if that takes more than `rounds` rounds."""
     ends = edges.select(F.col(a).cast("long").alias("x"), F.col(b).cast("long").alias("y")).where("x != y")
     current = write_shared(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(current.frame)
-    for _ in range(rounds):
+    for left in reversed(range(rounds)):
         following = write_shared(_small_star(_large_star(current.frame)), "edges")
         after = mark(following.frame)
         current.drop()
         current = following
         if after == before:
             break
+        if not left:
+            raise ValueError(f"the components still change after {rounds} rounds")
         before = after
     found = current.frame
     return found.select(F.col("b").alias("node"), F.col("a").alias("component")).union(found.select("a", "a").distinct())

@@ -17,9 +17,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset (tests, local runs)."""
+    """spark.checkpoint.dir of the session; a folder of this machine only where that is unset and all tasks run on it (tests, local runs)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quernlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
