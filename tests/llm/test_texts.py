@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -351,8 +352,6 @@ def test_all_frequent_words_are_dealt_and_the_score_is_the_models(documents):
 
 
 def test_exchange_raises_the_likelihood():
-    import numpy as np
-
     rng = np.random.default_rng(1)
     m = rng.poisson(3, (22, 22)).astype(float)
     m[2:12, 12:22] += 40
@@ -370,6 +369,18 @@ def test_exchange_raises_the_likelihood():
         assert all(likelihood(np.where(np.arange(22) == w, c, found)) <= likelihood(found) + 1e-6 for c in range(2, 6))
 
 
+def test_gains_of_rare_words_are_those_of_the_exchange():
+    rng = np.random.default_rng(3)
+    pairs = rng.poisson(200, (9, 9)).astype(float)
+    for _ in range(20):
+        right, left = rng.poisson(0.7, 9).astype(float), rng.poisson(0.7, 9).astype(float)
+        without = pairs.copy()
+        without[class_lm._RARE] -= right
+        without[:, class_lm._RARE] -= left
+        want = class_lm._gains(without, right, left, 0.0)[2:]
+        assert np.allclose(class_lm._gains_of_rare(pairs, right, left)[2:] - want, 0, atol=1e-6)
+
+
 def test_lm_odd_rows(odd, nothing):
     got = class_lm.score_documents(odd).collect()
     assert len(got) == odd.count() and all(math.isfinite(r.score) for r in got)
