@@ -235,15 +235,16 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     """The same with key, the MD5 of the text. The first of a class has its smallest id and, of this id's texts, the smallest key."""
     rows = id_and_text(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     sketches = write_shared(sketch(rows, words), "sketches").frame
-    # texts with the same words are one node; its number is fixed once the table is written
+    # texts with the same words are one node; numbers ascend with ids and are fixed once the table is written
     groups = sketches.groupBy("words").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    groups = groups.repartitionByRange("first").sortWithinPartitions("first")
     groups = write_shared(groups.withColumn("node", F.monotonically_increasing_id()), "same-words").frame
     bands = sketches.join(groups, (sketches["words"] == groups["words"]) & (sketches["doc_id"] == groups["first.doc_id"]) & (sketches["key"] == groups["first.key"])).select("node", "bands").dropDuplicates(["node"])
     bands = write_shared(bands.select(F.col("node").alias("id"), F.explode("bands").alias("bucket")), "bands").frame
     buckets = write_shared(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader != last").select("bucket", "leader"), "buckets").frame
     members = write_shared(bands.join(buckets, "bucket").select("bucket", "leader", "id"), "members").frame
     wanted = write_shared(members.select("id").distinct().join(groups.select(F.col("node").alias("id"), "first"), "id").select("id", "first.doc_id", "first.key"), "wanted").frame
-    texts = rows.withColumn("key", F.unhex(F.md5("text"))).join(wanted, ["doc_id", "key"]).select("id", "text").dropDuplicates(["id"])
+    texts = rows.withColumn("key", F.unhex(F.md5("text"))).join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text")
     texts = write_shared(texts, "texts").frame
 
     links = write_shared(verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, words), "links").frame
