@@ -244,7 +244,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sim
     buckets = write_shared(bands.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader != last").select("bucket", "leader"), "buckets").frame
     members = write_shared(bands.join(buckets, "bucket").select("bucket", "leader", "id"), "members").frame
     wanted = write_shared(members.select("id").distinct().join(groups.select(F.col("node").alias("id"), "first"), "id").select("id", "first.doc_id", "first.key"), "wanted").frame
-    texts = rows.withColumn("key", F.unhex(F.md5("text"))).join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text")
+    texts = rows.withColumn("key", F.unhex(F.md5("text"))).join(wanted.hint("merge"), ["doc_id", "key"]).dropDuplicates(["doc_id", "key"]).select("id", "text")
     texts = write_shared(texts, "texts").frame
 
     links = write_shared(verified(members.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), texts, words), "links").frame
