@@ -85,6 +85,19 @@ def error_by_bin(estimates: DataFrame, bins: int = 10) -> DataFrame:
     return estimates.groupBy(F.least(F.floor(F.col("j_exact") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("pairs"), F.sqrt(F.avg(e * e)).alias("rmse"), F.stddev_pop(e).alias("spread"))
 
 
+def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
+    """n rows without replacement, (place, id): the smallest hashes of id and seed, so the same rows on any number of partitions."""
+    keyed = rows.select(F.col(id_col).alias("id"), F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed)))).alias("draw"))
+    drawn = keyed.orderBy("draw", "id").limit(n)
+    return drawn.select((F.row_number().over(Window.orderBy("draw", "id")) - 1).alias("place"), "id")
+
+
+def random_pairs(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFrame:
+    """n pairs (a, b), a < b, of different sampled ids: neighbours in the order of the draw."""
+    pair = seeded_sample(rows, 2 * n, seed, id_col).groupBy(F.floor(F.col("place") / 2).alias("pair"))
+    return pair.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
+
+
 def log_slope(points: DataFrame, x: str, y: str) -> DataFrame:
     """The power with which y follows x: least squares over the logarithms."""
     return points.agg(F.regr_slope(F.ln(y), F.ln(x)).alias("slope"), F.regr_intercept(F.ln(y), F.ln(x)).alias("intercept"), F.corr(F.ln(x), F.ln(y)).alias("correlation"))

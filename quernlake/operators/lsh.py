@@ -131,6 +131,13 @@ def probe(asked: DataFrame, buckets: DataFrame, how: str = "") -> DataFrame:
     return found.select("probe_id", "id").distinct()
 
 
+def probe_single_key(asked: DataFrame, buckets: DataFrame) -> DataFrame:
+    """The probe's rows from a join by bucket_key alone, the band left as a condition on what met."""
+    p, b = asked.alias("p"), buckets.alias("b")
+    met = p.join(b, F.col("p.bucket_key") == F.col("b.bucket_key")).where("p.band_no = b.band_no AND p.id != b.id")
+    return met.select(F.col("p.id").alias("probe_id"), F.col("b.id").alias("id")).distinct()
+
+
 def probe_arrays(asked: DataFrame, arrays: DataFrame) -> DataFrame:
     """The same from (id, keys) with an array for each id: exploded, so it stays an equi-join and never a nested loop."""
     return probe(bucket_table(asked, F.col("keys")), bucket_table(arrays, F.col("keys")))

@@ -172,6 +172,13 @@ def reconcile(facts: DataFrame, finance: DataFrame, known: dict[str, str] = KNOW
     return calculated.join(finance, "month").select("month", "calculated_revenue", "finance_revenue", F.round(gap, 2).alias("difference"), reason.alias("classification"))
 
 
+def replace_table(rows: DataFrame, name: str) -> DataFrame:
+    """CREATE OR REPLACE TABLE AS: the named table has these rows only, in a new folder; the rows must not read the table itself."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").option("path", new_path(spark, name)).saveAsTable(name)
+    return spark.table(name)
+
+
 def missing_days(lines: DataFrame) -> DataFrame:
     """(store_id, business_date) without a line, between the first and the last day of all sales."""
     low, high = lines.agg(F.min("business_date"), F.max("business_date")).first()

@@ -41,7 +41,7 @@ sets AS MATERIALIZED (SELECT id, list_distinct({grams}) AS shingles FROM padded)
 _DIGEST = "SELECT id AS doc_id, len(shingles) AS n_shingles, CAST(CAST(coalesce(list_sum(list_transform(shingles, lambda x: CAST(x AS HUGEINT))), 0) AS HUGEINT) AS VARCHAR) AS hash_sum FROM "
 
 
-def with_sql(k: int, bands: int, rows: int, tau: float, tau_sketch: float, cap: int, frac: float, frequent: float, grid: list[tuple[int, int]], money: list[tuple[str, str]], lines: list[tuple[str, str]]) -> dict[str, str]:
+def with_sql(k: int, bands: int, rows: int, tau: float, tau_sketch: float, cap: int, frac: float, frequent: float, grid: list[tuple[int, int]], money: list[tuple[str, str]], lines: list[tuple[str, str]], n_random: int, seed: int) -> dict[str, str]:
     constants = ", ".join(f"{{'a': {a}::BIGINT, 'c': {c}::BIGINT}}" for a, c in portable_constants(k))
     w5 = _sets(5)
     classes = f"""{w5},
@@ -100,6 +100,11 @@ members AS MATERIALIZED (SELECT c.id AS doc_id, 'OPP-' || CAST(p.founder AS VARC
         "lsh_candidates_capped": f"WITH {index} SELECT DISTINCT a.id AS a, b.id AS b FROM buckets a JOIN buckets b ON a.band_no = b.band_no AND a.bucket_key = b.bucket_key AND a.id < b.id JOIN sizes s ON s.band_no = a.band_no AND s.bucket_key = a.bucket_key WHERE s.members <= {cap}",
         "lsh_suppressed": f"WITH {index} SELECT band_no, bucket_key, members FROM sizes WHERE members > {cap}",
         "lsh_suppressed_links": f"WITH {index}, f AS (SELECT band_no, bucket_key, min(id) AS a FROM buckets GROUP BY ALL HAVING count(*) > {cap}) SELECT DISTINCT a, id AS b FROM buckets JOIN f USING (band_no, bucket_key) WHERE id <> a",
+        "lsh_single_key_probe": f"WITH {index} {probes}",
+        "lsh_index_totals": f"WITH {index} SELECT count(*) AS n_rows, count(DISTINCT (band_no, bucket_key)) AS n_buckets FROM buckets",
+        "random_and_lsh_pairs": f"WITH {index}, drawn AS (SELECT id, row_number() OVER (ORDER BY md5(concat(CAST(id AS VARCHAR), ':{seed}')), id) - 1 AS place FROM sketches QUALIFY place < {2 * n_random}), random_pairs AS (SELECT min(id) AS a, max(id) AS b FROM drawn GROUP BY place // 2 HAVING count(*) = 2) SELECT a, b FROM random_pairs UNION SELECT a, b FROM candidates",
+        "pair_endpoints": f"WITH {classes}, {brute} SELECT a AS doc_id FROM exact WHERE jaccard >= {tau} UNION SELECT b FROM exact WHERE jaccard >= {tau}",
+        "sources_by_size": "SELECT source, count(*) AS n_documents FROM documents GROUP BY source",
         "lsh_probe": f"WITH {index} {probes}",
         "lsh_array_overlap_join": f"WITH {index}, arrays AS (SELECT id, array_agg(bucket_key ORDER BY band_no) AS keys FROM buckets GROUP BY id) SELECT p.id AS probe_id, b.id AS id FROM arrays p JOIN arrays b ON p.id <> b.id AND list_has_any(p.keys, b.keys) WHERE p.id % 50 = 0",
         "lsh_access_paths": f"WITH {index}, p AS ({probes}) SELECT path, (SELECT count(*) FROM p) AS pairs FROM (VALUES ('chosen'), ('merge'), ('shuffle_hash')) v(path)",

@@ -18,7 +18,8 @@ from quernlake.streaming import nightly
 
 K, BANDS, ROWS = 16, 4, 4
 TAU, TAU_SKETCH = lsh.TAU, 0.40
-CAP = 3
+CAP = 2  # over classes of equal sets, which few buckets hold many of: with 3 none would be refused
+RANDOM_PAIRS, DRAW_SEED = 400, 7
 FRAC = 0.05
 FREQUENT = 0.02
 GRID = [(8, 2), (4, 4), (2, 8)]
@@ -199,6 +200,32 @@ def lsh_access_paths(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.union_all([lsh.probe(asked, buckets, how).agg(F.lit(how or "chosen").alias("path"), F.count(F.lit(1)).alias("pairs")) for how in ("", "merge", "shuffle_hash")])
 
 
+def lsh_single_key_probe(spark: SparkSession, d: str) -> DataFrame:
+    buckets = _index(spark, d)[2]
+    return lsh.probe_single_key(buckets.where("id % 50 = 0"), buckets)
+
+
+def lsh_index_totals(spark: SparkSession, d: str) -> DataFrame:
+    return _index(spark, d)[2].agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(F.struct("band_no", "bucket_key")).alias("n_buckets"))
+
+
+def random_and_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs to measure a sketch by: some drawn at random, which are mostly far apart, and all candidates, each once."""
+    _, sketches, buckets = _index(spark, d)
+    return evaluate.random_pairs(sketches, RANDOM_PAIRS, DRAW_SEED).union(lsh.candidate_pairs(buckets)).distinct()
+
+
+def pair_endpoints(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that have a partner at the threshold."""
+    pairs = write_shared(exact_jaccard_pairs(spark, d), "pairs").frame
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+
+
+def sources_by_size(spark: SparkSession, d: str) -> DataFrame:
+    """Ordered by the place of a column in the list."""
+    return spark.sql("SELECT source, count(*) AS n_documents FROM {docs} GROUP BY 1 ORDER BY 2 DESC, 1", docs=_documents(spark, d))
+
+
 def lsh_point_lookup(spark: SparkSession, d: str) -> DataFrame:
     """The members of the largest bucket of each band, by a parameterised statement over the index."""
     buckets = _index(spark, d)[2]
@@ -389,6 +416,7 @@ QUERIES = {f.__name__: f for f in (
     jaccard_search, exact_jaccard_pairs, exact_jaccard_top20, minhash_portable_k16, minhash_production_k384, sketch_vs_exact, lsh_candidates_b4r4, lsh_candidates_capped, lsh_suppressed, lsh_suppressed_links,
     lsh_probe, lsh_array_overlap_join, lsh_access_paths, lsh_point_lookup, bucket_histogram, bucket_emissions, per_notice_emissions, emission_quantiles, skew_concentration, source_attribution, worst_bucket,
     cascade_decisions, decision_summary, auc, recall_at_zero_fp, threshold_by_ratio, score_quantiles, s_curve, sketch_error_by_k, sketch_error_slope, sketch_error_by_bin, lsh_grid, lsh_grid_operating_point,
+    lsh_single_key_probe, lsh_index_totals, random_and_lsh_pairs, pair_endpoints, sources_by_size,
     growth_projection, cluster_single, cluster_leader, cluster_complete, cluster_size_histogram, score_clustering, opportunity_card, alias_resolve, nightly_incremental, nightly_opportunities,
 )}
-ORACLE = with_sql(K, BANDS, ROWS, TAU, TAU_SKETCH, CAP, FRAC, FREQUENT, GRID, MONEY_CASES, LINE_CASES)
+ORACLE = with_sql(K, BANDS, ROWS, TAU, TAU_SKETCH, CAP, FRAC, FREQUENT, GRID, MONEY_CASES, LINE_CASES, RANDOM_PAIRS, DRAW_SEED)

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernlake.operators import sales
+from quernlake.operators.evaluate import union_all
 from quernlake.plans import stand_in as S
 from quernlake.shared import new_path
+from quernlake.sources import sales_files
 from quernlake.sources.tables import table
 
 WITH_LINES = f"WITH {S.LINES_SQL} "
@@ -158,6 +160,23 @@ def sales_missing_days(spark: SparkSession, d: str) -> DataFrame:
     return sales.missing_days(S.lines(spark, d)).select("store_id", F.col("business_date").cast("string").alias("business_date"))
 
 
+def dialect_union(spark: SparkSession, d: str) -> DataFrame:
+    """The lines as the three dialects' text, read as canonical lines, by store, month and re-send."""
+    lines = S.lines(spark, d)
+    found = union_all([sales_files.canonical(S.exported(lines, name), name, F.col("file_name")) for name in sales_files.DIALECTS])
+    by = found.groupBy("store_id", sales.month_of("business_date").alias("month"), "resend_no")
+    counted = by.agg(F.count(F.lit(1)).alias("n_lines"), F.count("product_code").alias("n_with_product"), F.sum("qty").alias("qty"), F.sum(sales.revenue()).alias("revenue"), F.max("ts").cast("string").alias("last_ts"))
+    return _doubles(counted, "qty", "revenue")
+
+
+def facts_replaced(spark: SparkSession, d: str) -> DataFrame:
+    """A table made of all facts, then replaced by those that have a product."""
+    facts = _facts(spark, d)
+    sales.replace_table(facts, "quernlake_facts")
+    left = sales.replace_table(facts.where("product_sk IS NOT NULL"), "quernlake_facts")
+    return left.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("product_sk").alias("n_products"), F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("revenue"))
+
+
 def orders_by_segment(spark: SparkSession, d: str) -> DataFrame:
     """A star join of three tables."""
     orders = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"))
@@ -175,6 +194,7 @@ QUERIES = {f.__name__: f for f in (
     sales_revenue_by_month, sales_revenue_by_store, sales_revenue_by_category, sales_unassigned_revenue, sales_revenue_by_day_of_week, sales_store_month_pruned, sales_dedup_lines,
     sales_duplicate_identities, sales_resend_conflicts, sales_void_keep_both, sales_void_drop_bill, dim_date, dim_product, dim_store, fact_sales_scd, fact_sales_scd_rowcount, product_reissues,
     historical_price_month, price_variance, naive_code_join_fanout, cross_system_top_products, load_audit_checksum, load_audit_runs, finance_reconciliation, sales_missing_days, orders_by_segment, events_by_business_day,
+    dialect_union, facts_replaced,
 )}
 
 _LINE_ORDER = "resend_no, source_file, store_id, business_date, product_code, qty, unit_price, line_type"
@@ -212,6 +232,8 @@ ORACLE = {
     "load_audit_runs": WITH_LINES + f"SELECT CAST(run AS INT) AS run_id, row_count, checksum FROM (SELECT count(*) AS row_count, {_CANONICAL} AS checksum FROM (SELECT *, row_number() OVER (PARTITION BY bill_no, line_no ORDER BY {_LINE_ORDER}) AS k FROM lines) WHERE k = 1), (VALUES (1), (2)) runs(run)",
     "finance_reconciliation": WITH_FACTS + "SELECT month, CAST(c AS DOUBLE) AS calculated_revenue, CAST(f AS DOUBLE) AS finance_revenue, CAST(round(f - c, 2) AS DOUBLE) AS difference, CASE WHEN abs(f - c) < 0.01 THEN 'MATCH' WHEN month = '2000-03' THEN 'KNOWN ORDER' ELSE 'INVESTIGATE PIPELINE' END AS classification FROM (SELECT month, c, c + CASE month[6:7] WHEN '03' THEN 100 WHEN '07' THEN CAST(0.009 AS DECIMAL(4,3)) WHEN '12' THEN CAST(-0.01 AS DECIMAL(4,3)) ELSE 0 END AS f FROM (SELECT strftime(date_key, '%Y-%m') AS month, round(sum(revenue), 2) AS c FROM facts GROUP BY 1))",
     "sales_missing_days": WITH_LINES + "SELECT s.store_id, CAST(CAST(d.day AS DATE) AS VARCHAR) AS business_date FROM (SELECT DISTINCT store_id FROM lines) s, (SELECT unnest(generate_series((SELECT min(business_date) FROM lines), (SELECT max(business_date) FROM lines), INTERVAL 1 DAY)) AS day) d WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.store_id = s.store_id AND l.business_date = CAST(d.day AS DATE))",
+    "dialect_union": WITH_LINES + f"SELECT store_id, business_month AS month, resend_no, count(*) AS n_lines, count(*) FILTER (line_type <> 'DISCOUNT') AS n_with_product, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum({S.REVENUE_SQL}) AS DOUBLE) AS revenue, strftime(max(business_date), '%Y-%m-%d') || ' 10:00:00' AS last_ts FROM lines GROUP BY ALL",
+    "facts_replaced": WITH_FACTS + "SELECT count(*) AS n_lines, count(DISTINCT product_sk) AS n_products, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue FROM facts WHERE product_sk IS NOT NULL",
     "orders_by_segment": "SELECT c_mktsegment, n_name, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "events_by_business_day": "SELECT CAST(CAST(ts - INTERVAL 90 MINUTE AS DATE) AS VARCHAR) AS business_date, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL",
 }

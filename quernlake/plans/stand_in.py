@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quernlake.sources.sales_files import DIALECTS
 from quernlake.sources.tables import table
 
 SPLIT = "2001-06-01"
@@ -49,6 +50,19 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_lines(spark, sf_dir).withColumn("business_month", F.date_format("business_date", "yyyy-MM"))
 
 
+def exported(lines: DataFrame, dialect: str) -> DataFrame:
+    """Rows of one dialect's exports as its files hold them: text under its column names, with the name of the file. The till closes at ten."""
+    columns = DIALECTS[dialect]["columns"]
+    time = F.col("business_date").cast("timestamp") + F.expr("INTERVAL 10 HOURS")
+    written = {"A": F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss"), "B": F.date_format(time, "dd-MM-yyyy HH:mm:ss"), "C": F.unix_timestamp(time).cast("string")}[dialect]
+    code = F.when(F.col("line_type") == "DISCOUNT", F.lit("")).otherwise(F.col("product_code"))
+    values = ["bill_no", F.col("line_no").cast("string"), code, F.col("qty").cast("string"), F.col("unit_price").cast("string"), F.concat(F.lit(" "), F.lower("line_type")), written]
+    again = F.when(F.col("resend_no") > 0, F.concat(F.lit("__R"), F.col("resend_no").cast("string"))).otherwise(F.lit(""))
+    name = F.concat(F.lit("SALES_"), "store_id", F.lit("_"), F.date_format("business_date", "yyyyMMdd"), again, F.lit(".csv"))
+    rows = lines.where(F.col("store_id").isin(DIALECTS[dialect]["stores"]))
+    return rows.select(*[(F.col(v) if isinstance(v, str) else v).alias(c) for v, c in zip(values, columns, strict=True)], name.alias("file_name"))
+
+
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part")
     code = F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_code")
