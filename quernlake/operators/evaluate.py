@@ -6,8 +6,12 @@ number is bounded by their precision and not by the rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,6 +102,98 @@ def random_pairs(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> Data
     return pair.agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("a", "b")
 
 
+def _poisson_steps(bits: int = 32) -> list[int]:
+    """How often a row occurs in a resample follows Poisson with mean 1: the counts' limits in a uniform number of so many bits."""
+    steps, share, term = [], 0.0, math.exp(-1)
+    for k in range(1, 14):
+        share += term
+        term /= k
+        steps.append(int(share * 2**bits))
+    return steps
+
+
+def bootstrap_recall(scores: DataFrame, resamples: int, seed: int) -> DataFrame:
+    """(resamples, low, high): the central 95 % of recall_at_zero_false over resamples of (key, score, positive).
+
+    A hash of key, resample and seed tells how often a row is drawn, so the same rows are drawn on any number of partitions.
+    Rows are counted by resample and score before the shuffle. A resample without a negative has a recall of 1, one without
+    a positive has none.
+    """
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", "key", F.col("resample").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
+    drawn = scores.select("key", "score", "positive", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("u", u)
+    times = reduce(Column.__add__, ((F.col("u") >= step).cast("int") for step in _poisson_steps()))
+    tallied = drawn.groupBy("resample", "score").agg(F.sum(F.when(F.col("positive"), times).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), times).otherwise(0)).alias("n"))
+    top = F.max(F.when(F.col("n") > 0, F.col("score"))).over(Window.partitionBy("resample"))
+    above = F.sum(F.when(F.col("top").isNull() | (F.col("score") > F.col("top")), F.col("p")).otherwise(0))
+    found = tallied.withColumn("top", top).groupBy("resample").agg(F.try_divide(above, F.sum("p")).alias("recall"))
+    return found.agg(F.count("recall").alias("resamples"), F.percentile("recall", 0.025).alias("low"), F.percentile("recall", 0.975).alias("high"))
+
+
+def representation(scores: DataFrame, ratio: float = COST_RATIO, z: float = 3.0902) -> DataFrame:
+    """How well a representation's (score, positive) separate, and the sketch rows its threshold would need; one row.
+
+    The resolution is how far the threshold lies above the bulk (99 %) of the negatives, 0.001 at least. Scores should have a
+    few decimals only, as running counts go over the distinct ones.
+    """
+    best, ranks, top = (x.first() for x in (best_threshold(scores, ratio), auc(scores), recall_at_zero_false(scores)))  # a row each
+    tau = best["threshold"] if best else None
+    negative = F.when(~F.col("positive"), F.col("score"))
+    positive = F.when(F.col("positive"), F.col("score"))
+    row = scores.agg(F.max(negative).alias("diff_max"), F.percentile(negative, 0.99).alias("diff_p99"), F.percentile(positive, 0.5).alias("same_median"), F.avg((positive >= F.lit(tau)).cast("int")).alias("merged_share"))
+    gap = F.greatest(F.lit(tau) - F.col("diff_p99"), F.lit(0.001))
+    row = row.select(F.lit(tau).cast("double").alias("tau"), "*", gap.alias("resolution"))
+    needed = F.ceil(F.round(F.lit(rows_needed(tau, 1.0, z) if best else None).cast("double") / (F.col("resolution") * F.col("resolution")), 6))
+    return row.select(F.lit(ranks["auc"]).cast("double").alias("auc"), F.lit(top["recall"]).cast("double").alias("recall"), "*", needed.cast("bigint").alias("rows_required"))
+
+
+def paired_shift(pairs: DataFrame, least: float = 0.02) -> DataFrame:
+    """What a change of representation does to the same pairs (a, b, before, after, label), by label.
+
+    (label, pairs, mean_shift, lifted, hurt, top_a, top_b): shifts beyond `least` count; the pair lifted most is named, of equal
+    ones that of the smallest ids.
+    """
+    shift = F.col("after") - F.col("before")
+    place = F.struct(F.round(shift, 9), -F.col("a"), -F.col("b"))
+    by = pairs.groupBy("label").agg(F.count(F.lit(1)).alias("pairs"), F.avg(shift).alias("mean_shift"), F.count(F.when(shift > least, 1)).alias("lifted"), F.count(F.when(shift < -least, 1)).alias("hurt"), F.max_by(F.struct("a", "b"), place).alias("top"))
+    return by.select("label", "pairs", "mean_shift", "lifted", "hurt", F.col("top.a").alias("top_a"), F.col("top.b").alias("top_b"))
+
+
+def row_dependence(estimates: DataFrame, k: int, blocks: int) -> DataFrame:
+    """Whether a sketch's rows are independent, from (sig_a, sig_b, j_exact) with k rows; one row.
+
+    half_correlation is that of the errors of both halves, half_spread the deviation of their difference beside the expected
+    one, block_variance the mean variance among blocks of rows beside that of a binomial.
+    """
+    share = lambda start, n: F.aggregate(F.slice(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), start, n), F.lit(0), lambda n, x: n + x) / F.lit(float(n))
+    half, width, j = k // 2, k // blocks, F.col("j_exact")
+    found = estimates.select("j_exact", (share(1, half) - j).alias("e"), (share(half + 1, half) - j).alias("f"), F.array(*[share(1 + i * width, width) for i in range(blocks)]).alias("shares"))
+    total = lambda f: F.aggregate(F.transform("shares", f), F.lit(0.0), lambda n, x: n + x)
+    spread = (total(lambda x: x * x) - F.pow(total(lambda x: x), F.lit(2.0)) / blocks) / (blocks - 1)
+    law = lambda n: F.avg(j * (1 - j) / n)
+    return found.agg(F.count(F.lit(1)).alias("pairs"), F.corr("e", "f").alias("half_correlation"), F.var_samp("e").alias("half_variance"), F.stddev_pop(F.col("e") - F.col("f")).alias("half_spread"), F.sqrt(2 * law(half)).alias("expected_spread"), F.avg(spread).alias("block_variance"), law(width).alias("binomial_variance"))
+
+
+def monte_carlo(pairs: DataFrame, rows: int = 96, replications: int = 400, seed: int = 2) -> DataFrame:
+    """The spread of estimates under truly independent permutations beside the law's, for each of a few stated pairs (a, b, set_a, set_b).
+
+    (a, b, jaccard, drawn_spread, law_spread). Permutations are drawn one replication at a time, rows x union numbers in memory.
+    """
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for a, b, left, right in zip(frame.a, frame.b, frame.set_a, frame.set_b, strict=True):
+                union = np.union1d(left, right)
+                in_left, in_right = np.isin(union, left), np.isin(union, right)
+                jaccard = float((in_left & in_right).mean()) if len(union) else 0.0
+                rng = np.random.default_rng([seed, int(a), int(b)])
+                met = [float(np.mean((in_left & in_right)[rng.random((rows, len(union))).argmin(axis=1)])) for _ in range(replications)] if len(union) else [0.0]
+                out.append((a, b, jaccard, float(np.std(met)), math.sqrt(jaccard * (1 - jaccard) / rows)))
+            yield pd.DataFrame(out, columns=["a", "b", "jaccard", "drawn_spread", "law_spread"])
+
+    return pairs.select("a", "b", "set_a", "set_b").mapInPandas(draw, "a long, b long, jaccard double, drawn_spread double, law_spread double")
+
+
 def log_slope(points: DataFrame, x: str, y: str) -> DataFrame:
     """The power with which y follows x: least squares over the logarithms."""
     return points.agg(F.regr_slope(F.ln(y), F.ln(x)).alias("slope"), F.regr_intercept(F.ln(y), F.ln(x)).alias("intercept"), F.corr(F.ln(x), F.ln(y)).alias("correlation"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from quernlake.operators.lsh import PRIME, portable_constants
 
 WHITE = r"[\p{Z}\x09-\x0d\x1c-\x1f\x85]+"
@@ -41,7 +43,7 @@ sets AS MATERIALIZED (SELECT id, list_distinct({grams}) AS shingles FROM padded)
 _DIGEST = "SELECT id AS doc_id, len(shingles) AS n_shingles, CAST(CAST(coalesce(list_sum(list_transform(shingles, lambda x: CAST(x AS HUGEINT))), 0) AS HUGEINT) AS VARCHAR) AS hash_sum FROM "
 
 
-def with_sql(k: int, bands: int, rows: int, tau: float, tau_sketch: float, cap: int, frac: float, frequent: float, grid: list[tuple[int, int]], money: list[tuple[str, str]], lines: list[tuple[str, str]], n_random: int, seed: int) -> dict[str, str]:
+def with_sql(k: int, bands: int, rows: int, tau: float, tau_sketch: float, cap: int, frac: float, frequent: float, grid: list[tuple[int, int]], money: list[tuple[str, str]], lines: list[tuple[str, str]], n_random: int, seed: int, resamples: int) -> dict[str, str]:
     constants = ", ".join(f"{{'a': {a}::BIGINT, 'c': {c}::BIGINT}}" for a, c in portable_constants(k))
     w5 = _sets(5)
     classes = f"""{w5},
@@ -79,7 +81,31 @@ members AS MATERIALIZED (SELECT c.id AS doc_id, 'OPP-' || CAST(p.founder AS VARC
     grid_rows = " UNION ALL ".join(f"SELECT CAST({b} AS INT) AS bands, CAST({r} AS INT) AS rows, (SELECT CAST(coalesce(sum(m * (m - 1) // 2), 0) AS BIGINT) FROM (SELECT count(*) AS m FROM ({band(b, r)}) GROUP BY band_no, bucket_key)) AS emissions, round(avg(CAST({candidate(b, r)} AS INT)), 9) AS recall FROM estimates WHERE j_exact >= {tau}" for b, r in grid)
     quantiles = ", ".join(f"quantile_cont(score, {q}) AS q{round(100 * q):02d}" for q in (0.05, 0.25, 0.5, 0.75, 0.95))
     hexed = "hex(encode(t))"
+    # Limits of a Poisson count in 32 bits: the distribution's sums, computed here by its formula.
+    limits = [int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(13)]
+    times = " + ".join(f"CAST(u >= {x} AS INT)" for x in limits)
+    boot = f"""drawn AS (SELECT r, j_sketch AS score, j_exact >= 0.7 AS positive, {times} AS times FROM (SELECT *, CAST('0x' || substr(md5(concat_ws(':', a, b, r, {seed})), 1, 8) AS BIGINT) AS u FROM estimates, range({resamples}) rs(r))),
+highest AS (SELECT r, max(score) FILTER (NOT positive AND times > 0) AS top FROM drawn GROUP BY r),
+recalls AS (SELECT r, sum(times) FILTER (positive AND (top IS NULL OR score > top)) AS hit, sum(times) FILTER (positive) AS n FROM drawn JOIN highest USING (r) GROUP BY r),
+shares AS (SELECT coalesce(hit, 0) / n AS recall FROM recalls WHERE n > 0)"""
+    w9 = _sets(9).removeprefix(NORM + ",\n").replace("padded", "padded9").replace("sets AS", "sets9 AS")
+    overlap = lambda t: f"(SELECT e.a, e.b, e.j_exact, len(list_intersect(x.shingles, y.shingles)) AS n, len(x.shingles) AS na, len(y.shingles) AS nb FROM estimates e JOIN {t} x ON x.id = e.a JOIN {t} y ON y.id = e.b)"
+    shifts = f"shifts AS (SELECT a, b, CASE WHEN j_exact >= 0.7 THEN 'same' ELSE 'different' END AS label, n / (na + nb - n) - j_exact AS s FROM {overlap('sets9')})"
+    stopped = f"stop AS MATERIALIZED (SELECT s FROM (SELECT unnest(shingles) AS s FROM sets) GROUP BY s HAVING count(*) > {frequent} * (SELECT count(*) FROM sets)), wanted AS (SELECT a AS id FROM estimates UNION SELECT b FROM estimates), lists AS (SELECT id, list(s) AS l FROM (SELECT id, unnest(shingles) AS s FROM sets WHERE id IN (SELECT id FROM wanted)) WHERE s NOT IN (SELECT s FROM stop) GROUP BY id), rare AS MATERIALIZED (SELECT w.id, coalesce(l, []) AS shingles FROM wanted w LEFT JOIN lists USING (id)), rescored AS MATERIALIZED (SELECT a, b, j_exact, CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE n / (na + nb - n) END AS other FROM {overlap('rare')})"
+    separation = lambda name: f"""SELECT '{name}' AS representation, round((SELECT avg(CASE WHEN p.score > n.score THEN 1.0 WHEN p.score = n.score THEN 0.5 ELSE 0 END) FROM s p, s n WHERE p.positive AND NOT n.positive), 6) AS auc,
+round((SELECT avg(CAST(score > diff_max AS INT)) FROM s WHERE positive), 6) AS recall, tau, diff_max, round(diff_p99, 6) AS diff_p99, round(greatest(tau - diff_p99, 0.001), 6) AS resolution,
+round((SELECT quantile_cont(score, 0.5) FROM s WHERE positive), 6) AS same_median, round((SELECT avg(CAST(score >= tau AS INT)) FROM s WHERE positive), 6) AS merged_share,
+CAST(ceil(round(3.0902 * 3.0902 * tau * (1 - tau) / pow(greatest(tau - diff_p99, 0.001), 2), 6)) AS BIGINT) AS rows_required"""
+    scored = lambda name, column: f"""SELECT * FROM (WITH s AS MATERIALIZED (SELECT round({column}, 4) AS score, j_exact >= 0.7 AS positive FROM rescored),
+priced AS (SELECT t.score AS tau, 50.0 * (SELECT count(*) FROM s n WHERE NOT n.positive AND n.score >= t.score) / (SELECT count(*) FROM s WHERE NOT positive) + (SELECT count(*) FROM s p WHERE p.positive AND p.score < t.score) / (SELECT count(*) FROM s WHERE positive) AS price FROM (SELECT DISTINCT score FROM s) t),
+best AS (SELECT tau FROM priced ORDER BY round(price, 12), tau LIMIT 1),
+far AS (SELECT max(score) AS diff_max, quantile_cont(score, 0.99) AS diff_p99 FROM s WHERE NOT positive) {separation(name)} FROM best, far)"""
     return {
+        "recall_interval": f"WITH {estimates}, {boot} SELECT count(*) AS resamples, round(quantile_cont(recall, 0.025), 9) AS low, round(quantile_cont(recall, 0.975), 9) AS high FROM shares",
+        "paired_shift_w9": f"WITH {estimates}, {w9}, {shifts} SELECT label, count(*) AS pairs, round(avg(s), 6) AS mean_shift, count(*) FILTER (s > 0.02) AS lifted, count(*) FILTER (s < -0.02) AS hurt, (array_agg(a ORDER BY round(s, 9) DESC, a, b))[1] AS top_a, (array_agg(b ORDER BY round(s, 9) DESC, a, b))[1] AS top_b FROM shifts GROUP BY label",
+        "representations": f"WITH {estimates}, {stopped} {scored('whole', 'j_exact')} UNION ALL {scored('stop_list', 'other')}",
+        "sketch_row_dependence": f"WITH {estimates}, e AS (SELECT j_exact AS j, [CAST(sig_a[i] = sig_b[i] AS INT) FOR i IN range(1, {k + 1})] AS q FROM estimates), h AS (SELECT j, list_sum(q[1 : {k // 2}]) / {k // 2}.0 - j AS e, list_sum(q[{k // 2 + 1} : {k}]) / {k // 2}.0 - j AS f, list_var_samp([{', '.join(f'list_sum(q[{i * k // bands + 1} : {(i + 1) * k // bands}]) / {k // bands}.0' for i in range(bands))}]) AS v FROM e) SELECT count(*) AS pairs, round(corr(e, f), 6) AS half_correlation, round(var_samp(e), 6) AS half_variance, round(stddev_pop(e - f), 6) AS half_spread, round(sqrt(2 * avg(j * (1 - j) / {k // 2})), 6) AS expected_spread, round(avg(v), 6) AS block_variance, round(avg(j * (1 - j) / {k // bands}), 6) AS binomial_variance FROM h",
+        "cascade_recall": f"WITH {estimates} SELECT count(*) AS pairs, count(*) FILTER ({candidate(bands, rows)}) AS met, count(*) FILTER ({candidate(bands, rows)} AND j_sketch >= {tau_sketch}) AS merged, round(avg(CAST({candidate(bands, rows)} AND j_sketch >= {tau_sketch} AS INT)), 9) AS recall FROM estimates WHERE j_exact >= {tau}",
         "doc_normalise": f"WITH {NORM} SELECT id AS doc_id, md5(t) AS text_md5, len(w) AS n_words FROM norm JOIN word_lists USING (id)",
         "money_canonicalisation": f"SELECT * FROM (VALUES {_values(money)}) v(text, token)",
         "line_key": f"SELECT * FROM (VALUES {_values(lines)}) v(line, line_key)",

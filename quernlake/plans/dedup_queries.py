@@ -20,6 +20,7 @@ K, BANDS, ROWS = 16, 4, 4
 TAU, TAU_SKETCH = lsh.TAU, 0.40
 CAP = 2  # over classes of equal sets, which few buckets hold many of: with 3 none would be refused
 RANDOM_PAIRS, DRAW_SEED = 400, 7
+RESAMPLES, DRAWN_PAIRS = 200, 4
 FRAC = 0.05
 FREQUENT = 0.02
 GRID = [(8, 2), (4, 4), (2, 8)]
@@ -212,7 +213,7 @@ def lsh_index_totals(spark: SparkSession, d: str) -> DataFrame:
 def random_and_lsh_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Pairs to measure a sketch by: some drawn at random, which are mostly far apart, and all candidates, each once."""
     _, sketches, buckets = _index(spark, d)
-    return evaluate.random_pairs(sketches, RANDOM_PAIRS, DRAW_SEED).union(lsh.candidate_pairs(buckets)).distinct()
+    return evaluate.random_pairs(sketches, RANDOM_PAIRS, DRAW_SEED, RESAMPLES).union(lsh.candidate_pairs(buckets)).distinct()
 
 
 def pair_endpoints(spark: SparkSession, d: str) -> DataFrame:
@@ -299,6 +300,58 @@ def _candidates(frame: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataF
     return frame.select("a", "b", F.col("j_exact").alias("jaccard"), F.exists(F.zip_with(keys("a"), keys("b"), lambda x, y: x == y), lambda same: same).alias("candidate"))
 
 
+def recall_interval(spark: SparkSession, d: str) -> DataFrame:
+    """The bootstrap's interval of the recall without a false merge."""
+    pairs = _estimates(spark, d).select(F.concat_ws(":", F.col("a").cast("string"), F.col("b").cast("string")).alias("key"), F.col("j_sketch").alias("score"), (F.col("j_exact") >= 0.7).alias("positive"))
+    found = evaluate.bootstrap_recall(pairs, RESAMPLES, DRAW_SEED)
+    return found.withColumns({c: F.round(c, 9) for c in ("low", "high")})
+
+
+def _rescored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the Jaccard of the same documents' other sets."""
+    left, right = (sets.select(F.col("id").alias(x), F.col("shingles").alias(f"_{x}")) for x in "ab")
+    return pairs.join(left, "a").join(right, "b").withColumn("other", notices.jaccard(F.col("_a"), F.col("_b"))).drop("_a", "_b")
+
+
+def paired_shift_w9(spark: SparkSession, d: str) -> DataFrame:
+    """What nine-word shingles instead of five do to the pairs that are the same (from 0.7) or not."""
+    found = _rescored(_estimates(spark, d).select("a", "b", "j_exact"), _sets(spark, d, "w9"))
+    label = F.when(F.col("j_exact") >= 0.7, "same").otherwise("different")
+    shifted = evaluate.paired_shift(found.select("a", "b", F.col("j_exact").alias("before"), F.col("other").alias("after"), label.alias("label")))
+    return shifted.withColumn("mean_shift", F.round("mean_shift", 6))
+
+
+def representations(spark: SparkSession, d: str) -> DataFrame:
+    """How well the sets separate the same pairs, whole and without frequent shingles."""
+    pairs = _estimates(spark, d).select("a", "b", "j_exact")
+    other = write_shared(_rescored(pairs, notices.without_frequent(_kept_sets(spark, d), FREQUENT)), "rescored").frame
+    parts = []
+    for name, column in (("whole", "j_exact"), ("stop_list", "other")):
+        scores = other.select(F.round(column, 4).alias("score"), (F.col("j_exact") >= 0.7).alias("positive"))
+        parts.append(evaluate.representation(scores).select(F.lit(name).alias("representation"), "*"))
+    return evaluate.union_all(parts).withColumns({c: F.round(c, 6) for c in ("auc", "recall", "diff_p99", "resolution", "same_median", "merged_share")})
+
+
+def sketch_row_dependence(spark: SparkSession, d: str) -> DataFrame:
+    found = evaluate.row_dependence(_estimates(spark, d), K, BANDS)
+    return found.select([F.round(c, 6).alias(c) if c != "pairs" else F.col(c) for c in found.columns])
+
+
+def sketch_monte_carlo(spark: SparkSession, d: str) -> DataFrame:
+    """Truly independent permutations of a few stated pairs: the first of the middle bins of similarity."""
+    middle = _estimates(spark, d).where("j_exact BETWEEN 0.3 AND 0.9").select("a", "b").orderBy("a", "b").limit(DRAWN_PAIRS)
+    left, right = (_sets(spark, d).select(F.col("id").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+    return evaluate.monte_carlo(middle.join(left, "a").join(right, "b"))
+
+
+def cascade_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How many of the pairs at or above tau the cascade's bands meet, and how many also pass its sketch filter."""
+    pairs = _estimates(spark, d)
+    met = _candidates(pairs).join(pairs.select("a", "b", "j_sketch"), ["a", "b"]).where(F.col("jaccard") >= TAU)
+    passed = F.col("candidate") & (F.col("j_sketch") >= TAU_SKETCH)
+    return met.agg(F.count(F.lit(1)).alias("pairs"), F.count(F.when(F.col("candidate"), 1)).alias("met"), F.count(F.when(passed, 1)).alias("merged"), F.round(F.avg(passed.cast("int")), 9).alias("recall"))
+
+
 def s_curve(spark: SparkSession, d: str) -> DataFrame:
     found = evaluate.curve(_candidates(_estimates(spark, d)))
     middle = (F.col("bin") + 0.5) / 10
@@ -417,6 +470,7 @@ QUERIES = {f.__name__: f for f in (
     lsh_probe, lsh_array_overlap_join, lsh_access_paths, lsh_point_lookup, bucket_histogram, bucket_emissions, per_notice_emissions, emission_quantiles, skew_concentration, source_attribution, worst_bucket,
     cascade_decisions, decision_summary, auc, recall_at_zero_fp, threshold_by_ratio, score_quantiles, s_curve, sketch_error_by_k, sketch_error_slope, sketch_error_by_bin, lsh_grid, lsh_grid_operating_point,
     lsh_single_key_probe, lsh_index_totals, random_and_lsh_pairs, pair_endpoints, sources_by_size,
+    recall_interval, paired_shift_w9, representations, sketch_row_dependence, sketch_monte_carlo, cascade_recall,
     growth_projection, cluster_single, cluster_leader, cluster_complete, cluster_size_histogram, score_clustering, opportunity_card, alias_resolve, nightly_incremental, nightly_opportunities,
 )}
-ORACLE = with_sql(K, BANDS, ROWS, TAU, TAU_SKETCH, CAP, FRAC, FREQUENT, GRID, MONEY_CASES, LINE_CASES, RANDOM_PAIRS, DRAW_SEED)
+ORACLE = with_sql(K, BANDS, ROWS, TAU, TAU_SKETCH, CAP, FRAC, FREQUENT, GRID, MONEY_CASES, LINE_CASES, RANDOM_PAIRS, DRAW_SEED, RESAMPLES)

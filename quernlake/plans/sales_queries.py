@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quernlake.operators import sales
+from quernlake.operators import checks, plan_facts, sales
 from quernlake.operators.evaluate import union_all
 from quernlake.plans import stand_in as S
 from quernlake.shared import new_path
-from quernlake.sources import sales_files
+from quernlake.sources import sales_files, warehouse
 from quernlake.sources.tables import table
 
 WITH_LINES = f"WITH {S.LINES_SQL} "
@@ -177,6 +177,44 @@ def facts_replaced(spark: SparkSession, d: str) -> DataFrame:
     return left.agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("product_sk").alias("n_products"), F.coalesce(F.sum("revenue"), F.lit(0)).cast("double").alias("revenue"))
 
 
+def table_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """What the catalogue knows of the table of lines after counting it."""
+    sales.replace_table(S.lines(spark, d).select("bill_no", "line_no", "store_id"), "quernlake_lines")
+    warehouse.analyse(spark, "quernlake_lines", ("line_no", "store_id"))
+    return warehouse.statistics(spark, "quernlake_lines", ("line_no", "store_id")).drop("n_bytes")
+
+
+def master_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Keys, references and ranges that a database would enforce, with the rows that break them."""
+    orders, lineitem, customer, nation, documents, labels = (table(spark, d, x) for x in ("orders", "lineitem", "customer", "nation", "documents", "labels"))
+    return union_all([
+        checks.unique(orders, "orders", "o_orderkey"),
+        checks.unique(lineitem, "lineitem", "l_orderkey", "l_linenumber"),
+        checks.unique(lineitem, "lineitem", "l_orderkey"),
+        checks.references(lineitem, "lineitem", "l_orderkey", orders, "o_orderkey"),
+        checks.references(orders, "orders", "o_custkey", customer, "c_custkey"),
+        checks.references(customer, "customer", "c_nationkey", nation, "n_nationkey"),
+        checks.references(documents, "documents", "doc_id", labels, "doc_id"),
+        checks.not_null(documents, "documents", "text"),
+        checks.not_null(documents, "documents", "source"),
+        checks.holds(lineitem, "lineitem", "l_quantity <= 40"),
+    ])
+
+
+def plan_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """What Spark plans for one store and month, for a total by store, and for a filter on a column in the files."""
+    path = new_path(spark, "canonical")
+    sales.write_canonical(S.lines(spark, d), path)
+    kept = sales.read_canonical(spark, path)
+    asked = {
+        "store_month": sales.read_canonical(spark, path, STORE, MONTH).select("bill_no", "qty"),
+        "by_store": kept.groupBy("store_id").agg(F.count(F.lit(1)).alias("n")),
+        "in_files": kept.where("line_type = 'SALE'").select("bill_no", "line_type"),
+    }
+    rows = [(name, *plan_facts.summary(frame)) for name, frame in asked.items()]
+    return spark.createDataFrame(rows, "query string, scans int, exchanges int, pruned_by string, pushed string, columns string")
+
+
 def orders_by_segment(spark: SparkSession, d: str) -> DataFrame:
     """A star join of three tables."""
     orders = table(spark, d, "orders").select("o_custkey", F.col("o_totalprice").cast("decimal(15,2)").alias("price"))
@@ -194,7 +232,7 @@ QUERIES = {f.__name__: f for f in (
     sales_revenue_by_month, sales_revenue_by_store, sales_revenue_by_category, sales_unassigned_revenue, sales_revenue_by_day_of_week, sales_store_month_pruned, sales_dedup_lines,
     sales_duplicate_identities, sales_resend_conflicts, sales_void_keep_both, sales_void_drop_bill, dim_date, dim_product, dim_store, fact_sales_scd, fact_sales_scd_rowcount, product_reissues,
     historical_price_month, price_variance, naive_code_join_fanout, cross_system_top_products, load_audit_checksum, load_audit_runs, finance_reconciliation, sales_missing_days, orders_by_segment, events_by_business_day,
-    dialect_union, facts_replaced,
+    dialect_union, facts_replaced, table_statistics, master_checks, plan_pruning,
 )}
 
 _LINE_ORDER = "resend_no, source_file, store_id, business_date, product_code, qty, unit_price, line_type"
@@ -234,6 +272,20 @@ ORACLE = {
     "sales_missing_days": WITH_LINES + "SELECT s.store_id, CAST(CAST(d.day AS DATE) AS VARCHAR) AS business_date FROM (SELECT DISTINCT store_id FROM lines) s, (SELECT unnest(generate_series((SELECT min(business_date) FROM lines), (SELECT max(business_date) FROM lines), INTERVAL 1 DAY)) AS day) d WHERE NOT EXISTS (SELECT 1 FROM lines l WHERE l.store_id = s.store_id AND l.business_date = CAST(d.day AS DATE))",
     "dialect_union": WITH_LINES + f"SELECT store_id, business_month AS month, resend_no, count(*) AS n_lines, count(*) FILTER (line_type <> 'DISCOUNT') AS n_with_product, CAST(sum(qty) AS DOUBLE) AS qty, CAST(sum({S.REVENUE_SQL}) AS DOUBLE) AS revenue, strftime(max(business_date), '%Y-%m-%d') || ' 10:00:00' AS last_ts FROM lines GROUP BY ALL",
     "facts_replaced": WITH_FACTS + "SELECT count(*) AS n_lines, count(DISTINCT product_sk) AS n_products, CAST(coalesce(sum(revenue), 0) AS DOUBLE) AS revenue FROM facts WHERE product_sk IS NOT NULL",
+    "table_statistics": WITH_LINES + "SELECT 'quernlake_lines' AS table_name, n_rows, v.* FROM (SELECT count(*) AS n_rows, min(line_no) AS low, max(line_no) AS high, count(*) FILTER (line_no IS NULL) AS nulls, count(*) FILTER (store_id IS NULL) AS nulls_of_stores FROM lines) t, LATERAL (VALUES ('line_no', CAST(low AS VARCHAR), CAST(high AS VARCHAR), nulls), ('store_id', NULL, NULL, nulls_of_stores)) v(\"column\", low, high, nulls)",
+    "master_checks": " UNION ALL ".join([
+        "SELECT 'orders.o_orderkey unique' AS \"check\", count(o_orderkey) - count(DISTINCT o_orderkey) AS violations FROM orders",
+        "SELECT 'lineitem.l_orderkey+l_linenumber unique', count(*) - count(DISTINCT (l_orderkey, l_linenumber)) FROM lineitem WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL",
+        "SELECT 'lineitem.l_orderkey unique', count(l_orderkey) - count(DISTINCT l_orderkey) FROM lineitem",
+        "SELECT 'lineitem.l_orderkey references o_orderkey', count(*) FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey)",
+        "SELECT 'orders.o_custkey references c_custkey', count(*) FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE o_custkey = c_custkey)",
+        "SELECT 'customer.c_nationkey references n_nationkey', count(*) FROM customer WHERE NOT EXISTS (SELECT 1 FROM nation WHERE c_nationkey = n_nationkey)",
+        "SELECT 'documents.doc_id references doc_id', count(*) FROM documents d WHERE d.doc_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+        "SELECT 'documents.text not null', count(*) FILTER (text IS NULL) FROM documents",
+        "SELECT 'documents.source not null', count(*) FILTER (source IS NULL) FROM documents",
+        "SELECT 'lineitem l_quantity <= 40', count(*) FILTER (l_quantity > 40) FROM lineitem",
+    ]),
+    "plan_pruning": "SELECT query, CAST(scans AS INT) AS scans, CAST(exchanges AS INT) AS exchanges, pruned_by, pushed, columns FROM (VALUES ('store_month', 1, 0, 'business_month,store_id', '', 'bill_no,qty'), ('by_store', 1, 1, '', '', ''), ('in_files', 1, 0, '', 'line_type', 'bill_no,line_type')) v(query, scans, exchanges, pruned_by, pushed, columns)",
     "orders_by_segment": "SELECT c_mktsegment, n_name, count(*) AS n_orders, CAST(sum(CAST(o_totalprice AS DECIMAL(15,2))) AS DOUBLE) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL",
     "events_by_business_day": "SELECT CAST(CAST(ts - INTERVAL 90 MINUTE AS DATE) AS VARCHAR) AS business_date, event_type, count(*) AS n_events, CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total FROM events GROUP BY ALL",
 }
