@@ -20,7 +20,7 @@ _PREFIXES = {
     "texts": ("doc_", "money_", "line_", "shingle_", "df_", "set_"),
     "similarity": ("jaccard_", "exact_", "paired_", "representation", "recall_", "auc", "threshold_", "score_quantiles"),
     "sketches": ("minhash_", "sketch_", "s_curve", "random_"),
-    "index": ("lsh_", "bucket_", "per_notice", "emission_", "skew_", "source_", "worst_", "growth_"),
+    "index": ("pair_endpoints", "sources_by_size", "lsh_", "bucket_", "per_notice", "emission_", "skew_", "source_", "worst_", "growth_"),
     "clusters": ("cascade_", "decision_", "cluster_", "opportunity_", "alias_", "score_clustering"),
     "nights": ("nightly_",),
 }
