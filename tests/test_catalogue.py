@@ -37,3 +37,15 @@ def test_production_sketch_has_a_row_for_each_document(spark):
     found = QUERIES["minhash_production_k384"](spark, SF).collect()
     assert len(found) == views().sql("SELECT count(*) FROM documents").fetchall()[0][0]
     assert all(len(r["keys"]) == 76 and min(r["keys"]) >= 0 and r.n_shingles >= 1 for r in found)
+
+
+def test_random_and_candidate_pairs_over_few_documents(spark, tmp_path):
+    """Fewer documents than are drawn, an odd number of them: all are paired but one, and every candidate is there once."""
+    texts = [" ".join(f"w{k * 100 + i}" for i in range(12)) for k in range(8)] + ["a b c d e f g h i j k", "a b c d e f g h i j l", "a b c d e f g h i j m"]
+    spark.createDataFrame([(i, "s", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    frame = QUERIES["random_and_lsh_pairs"](spark, str(tmp_path)).cache()
+    assert_same(frame, SQL["random_and_lsh_pairs"], str(tmp_path))
+    found = [(r.a, r.b) for r in frame.collect()]
+    candidates = {(r.a, r.b) for r in QUERIES["lsh_candidates_b4r4"](spark, str(tmp_path)).collect()}
+    assert len(set(found)) == len(found) and candidates and candidates <= set(found) and all(a < b for a, b in found)
+    assert len({x for pair in found for x in pair}) >= len(texts) - 1
