@@ -351,6 +351,24 @@ def test_all_frequent_words_are_dealt_and_the_score_is_the_models(documents):
         assert math.isclose(got[i], sum(move(a, b) for a, b in zip(path, path[1:], strict=False)) + sum(map(emit, t.split())), rel_tol=1e-9), i
 
 
+def test_words_beyond_the_workers_table_are_dealt_too(documents):
+    """A table of 20 or of 9 words gives the classes and scores of one that holds all; with equal counts, too, it is filled to its limit."""
+    rng = random.Random(8)
+    det, noun, verb = ["the", "a", "one"], [f"n{k}" for k in range(12)], [f"v{k}" for k in range(12)]
+    rows = [(k, " ".join(f"{rng.choice(det)} {rng.choice(noun)} {rng.choice(verb)}" for _ in range(12))) for k in range(300)] + [(300 + k, f"the n1 once{k} v2 v3 v4 pair{k // 2}") for k in range(12)] + [(320, ""), (321, None)]
+    docs = documents(rows)
+    whole, middle, small = ({r.doc_id: r for r in class_lm.score_documents(docs, dealt_limit=limit, seed=9, classes=3, least=3).collect()} for limit in (1000, 20, 9))
+    for i, r in whole.items():
+        for other in (middle[i], small[i]):
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (other.n_tokens, other.n_known, other.train_tokens)
+            assert math.isclose(r.score, other.score, rel_tol=1e-9) and math.isclose(r.base_score, other.base_score, rel_tol=1e-9)
+    model, counts = class_lm.train_model(docs.selectExpr("doc_id", "coalesce(text, '') AS text"), dealt_limit=9, seed=9, classes=3, least=3)
+    assert len(model.dealt.hashes) == 9 and counts.where("class >= 2").count() == 27 - 9 and counts.where("class IS NOT NULL AND n < 3").count() == 0
+    even = documents([(k, " ".join(f"w{(k + j) % 50}" for j in range(50))) for k in range(10)])
+    model, counts = class_lm.train_model(even.select("doc_id", "text"), dealt_limit=20, seed=5, classes=3, least=3)
+    assert 0 < len(model.dealt.hashes) <= 20 and len(model.dealt.hashes) + counts.where("class >= 2").count() == 50
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(1)
     m = rng.poisson(3, (22, 22)).astype(float)
