@@ -159,14 +159,14 @@ def paired_shift(pairs: DataFrame, least: float = 0.02) -> DataFrame:
 
 
 def row_dependence(estimates: DataFrame, k: int, blocks: int) -> DataFrame:
-    """Whether a sketch's rows are independent, from (sig_a, sig_b, j_exact) with k rows; one row.
+    """Whether a sketch's rows are independent, from (same, j_exact) with a bit for each equal one of k rows; one row.
 
     half_correlation is that of the errors of both halves, half_spread the deviation of their difference beside the expected
     one, block_variance the mean variance among blocks of rows beside that of a binomial.
     """
-    share = lambda start, n: F.aggregate(F.slice(F.zip_with("sig_a", "sig_b", lambda x, y: (x == y).cast("int")), start, n), F.lit(0), lambda n, x: n + x) / F.lit(float(n))
+    share = lambda start, n: F.bit_count(F.col("same").bitwiseAND((2**n - 1) << start)) / F.lit(float(n))
     half, width, j = k // 2, k // blocks, F.col("j_exact")
-    found = estimates.select("j_exact", (share(1, half) - j).alias("e"), (share(half + 1, half) - j).alias("f"), F.array(*[share(1 + i * width, width) for i in range(blocks)]).alias("shares"))
+    found = estimates.select("j_exact", (share(0, half) - j).alias("e"), (share(half, half) - j).alias("f"), F.array(*[share(i * width, width) for i in range(blocks)]).alias("shares"))
     total = lambda f: F.aggregate(F.transform("shares", f), F.lit(0.0), lambda n, x: n + x)
     spread = (total(lambda x: x * x) - F.pow(total(lambda x: x), F.lit(2.0)) / blocks) / (blocks - 1)
     law = lambda n: F.avg(j * (1 - j) / n)
