@@ -1,13 +1,15 @@
 """Pairs that meet in blocks against loops over all pairs."""
 
 import random
+import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quernlake.operators import evaluate, lsh, notices, overlaps
+from quernlake.operators import components, evaluate, linkage, lsh, notices, overlaps
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,40 @@ def test_frequent_shingles_whose_remainders_collide(spark):
 def test_row_dependence_from_bits(spark):
     row = evaluate.row_dependence(spark.createDataFrame([(0b1111_0000, 0.5), (0b0011_0011, 0.5)], "same long, j_exact double"), 8, 4).first()
     assert row.pairs == 2 and abs(row.half_spread - 0.5) < 1e-12
+
+
+def test_stars_have_the_components_of_their_edges():
+    path = np.random.default_rng(4).permutation(3000)
+    edges = np.stack([path[:-1], path[1:]])[:, np.arange(2999) % 7 != 0]
+    made = components._stars(edges).to_pydict()
+    parent = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges.T.tolist():
+        a, b = sorted((top(a), top(b)))
+        parent[b] = a
+    assert dict(zip(made["b"], made["a"], strict=True)) == {x: top(x) for x in list(parent) if top(x) != x}
+
+
+@pytest.mark.parametrize("policy", ["leader", "complete"])
+def test_replay_is_linear_in_a_large_component(spark, policy):
+    """A cluster of 700 all alike, then chains: over 240,000 pairs. The former replay looked up every pair of members of each two clusters."""
+    n = 700
+    pairs = [(a, b, 0.9) for b in range(n) for a in range(b)]
+    began = time.time()
+    run = linkage.Replay(policy)
+    for b in range(n):
+        run.attach(b, list(range(b)), [0.9] * b)
+    assert len(run.members) == 1 and time.time() - began < 10
+    frame = spark.createDataFrame(pd.DataFrame(pairs[::7] + [(n + k, n + k + 1, 0.6) for k in range(50)], columns=["a", "b", "similarity"]))
+    known = {(r.a, r.b): r.similarity for r in frame.collect()}
+    whole = linkage.Replay(policy, known)
+    for x in range(n + 51):
+        whole.attach(x, [y for y in whole.known[x] if y < x])
+    got = linkage.linked(spark.range(n + 51), frame, policy).collect()
+    assert {r.id: r.opportunity_id for r in got if r.id is not None} == whole.cluster_of
+    assert sorted((r.opportunity_id, r.alias_of) for r in got if r.id is None) == sorted(whole.aliases)
