@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quernlake.operators import draws
+
 # The weight of a false merge against a missed one, and the recall that may be lost in retrieval.
 COST_RATIO, LOSS_BUDGET = 50.0, 0.01
 
@@ -116,13 +118,13 @@ def bootstrap_recall(scores: DataFrame, resamples: int, seed: int) -> DataFrame:
     """(resamples, low, high): the central 95 % of recall_at_zero_false over resamples of (key, score, positive).
 
     A hash of key, resample and seed tells how often a row is drawn, so the same rows are drawn on any number of partitions.
-    Rows are counted by resample and score before the shuffle. A resample without a negative has a recall of 1, one without
+    Rows are counted by resample and score where they are drawn. A resample without a negative has a recall of 1, one without
     a positive has none.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", "key", F.col("resample").cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("bigint")
-    drawn = scores.select("key", "score", "positive", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("resample")).withColumn("u", u)
-    times = reduce(Column.__add__, ((F.col("u") >= step).cast("int") for step in _poisson_steps()))
-    tallied = drawn.groupBy("resample", "score").agg(F.sum(F.when(F.col("positive"), times).otherwise(0)).alias("p"), F.sum(F.when(~F.col("positive"), times).otherwise(0)).alias("n"))
+    tasks = int(scores.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = scores.select("key", F.col("score").cast("double").alias("score"), "positive").repartition(tasks)  # each row is hashed `resamples` times
+    drawn = rows.mapInArrow(draws.tally(resamples, seed, _poisson_steps()), "resample int, score double, p long, n long")
+    tallied = drawn.groupBy("resample", "score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     top = F.max(F.when(F.col("n") > 0, F.col("score"))).over(Window.partitionBy("resample"))
     above = F.sum(F.when(F.col("top").isNull() | (F.col("score") > F.col("top")), F.col("p")).otherwise(0))
     found = tallied.withColumn("top", top).groupBy("resample").agg(F.try_divide(above, F.sum("p")).alias("recall"))
