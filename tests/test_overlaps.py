@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quernlake.operators import components, evaluate, linkage, lsh, notices, overlaps
+from quernlake.streaming import nightly
 
 
 @pytest.fixture(scope="module")
@@ -118,3 +119,22 @@ def test_replay_is_linear_in_a_large_component(spark, policy):
     got = linkage.linked(spark.range(n + 51), frame, policy).collect()
     assert {r.id: r.opportunity_id for r in got if r.id is not None} == whole.cluster_of
     assert sorted((r.opportunity_id, r.alias_of) for r in got if r.id is None) == sorted(whole.aliases)
+
+
+def test_a_night_writes_its_own_rows_only(spark, tmp_path):
+    """Each version of the index used to repeat all notices and buckets of the nights before."""
+    batch = lambda ids: spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(9))) for k in ids], "doc_id long, text string")
+    index = nightly.Index(spark, str(tmp_path / "i"), nightly.Settings(k_rows=8, bands=4, rows_per_band=2))
+    for ids in (range(6), range(6, 8), [8, 8]):
+        index.night(batch(ids))
+    rows = [spark.read.parquet(str(tmp_path / "i" / str(v) / "notices")).count() for v in range(4)]
+    assert rows == [0, 6, 2, 1] and index.table("notices").count() == 9 and index.table("buckets").count() == 36
+
+
+def test_stated_pairs_are_scored_in_blocks(spark, lists, monkeypatch):
+    monkeypatch.setattr(notices, "BLOCK_SETS", 5)
+    sets = spark.createDataFrame(list(enumerate(lists)), "id long, shingles array<bigint>")
+    stated = [(a, b) for a in range(0, 57, 3) for b in range(a + 1, 57, 5)]
+    got = {(r.a, r.b): (r.j_sketch, r.j_exact) for r in notices.scored_pairs(spark.createDataFrame(stated, "a long, b long"), lsh.signatures(sets, 70, with_sets=True)).collect()}
+    sig = {r.id: r.sig for r in lsh.signatures(sets, 70).collect()}
+    assert got == {(a, b): (sum(x == y for x, y in zip(sig[a], sig[b], strict=True)) / 70, jaccard(lists[a], lists[b])) for a, b in stated}
